@@ -8,6 +8,11 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_mix_sources": "mixing",
+    "op5_minhash_dedup": "minhash",
+    "op6_token_counts": "bpe",
+    "op8_fingerprints": "fingerprints",
+    "op9_lm_scoring": "language_model",
+    "op10_substring_dedup": "substrings",
 }
 
 
