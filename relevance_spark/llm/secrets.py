@@ -1,0 +1,184 @@
+"""Secrets in texts: fixed patterns, and a battery of randomness tests for whatever else looks drawn at random.
+
+All in one projection of built-in functions. A pattern's matches and the pieces between them give each match's place in
+code points. The battery looks at runs of 20 or more characters of the usual encodings that hold digits or inner
+capitals; pure numbers are not looked at. For each, the encoding with the smallest alphabet that fits is inferred, and
+
+* chi-squared of the alphabet's uniformity, the number of runs above and below the middle of the alphabet, and the
+  serial correlation of neighbours must not reject uniform randomness together (chi-squared of three, BATTERY);
+* the likelihood ratio of uniform characters to those of prose is an e-value against "this is prose". The words of a
+  text are its hypotheses; e-values are compared as in Benjamini-Hochberg (the k-th largest with words / (ALPHA k)),
+  which controls false discoveries however they depend, asks more in longer texts and less of longer tokens.
+
+Null and empty texts hold no secrets. Spans of the battery that touch one of a pattern are left out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from relevance_spark.llm.shared import let, text_or_empty, word_count
+
+#: Kind, pattern, group whose length counts, and its least length, in order of precedence.
+PATTERNS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
+]
+#: What the battery looks at.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Alphabets in order of size; the first that holds every character of a token (less padding) is its encoding.
+ALPHABETS = [
+    ("hex", "0123456789abcdef"),
+    ("hex", "0123456789ABCDEF"),
+    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+]
+#: Share of the characters of prose, and characters, of each class.
+PROSE = [("[a-z]", 0.93, 26), ("[A-Z]", 0.04, 26), ("[0-9]", 0.02, 10), ("[^A-Za-z0-9]", 0.01, 5)]
+#: Level of the false-discovery control, and the 0.999 quantile of chi-squared with three degrees of freedom.
+ALPHA, BATTERY = 0.001, 16.27
+MASK = "[SECRET]"
+
+
+def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Array of (start, kind order, kind, end) of the matches that are long enough."""
+    found = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+
+    def placed(x: Column) -> Column:
+        # One pass over pieces and matches keeps the place that the next match starts at.
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(x["between"][i])
+            end = start + F.length(x["match"][i])
+            span = F.struct(start.alias("start"), F.lit(_order(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["match"][i].alias("match"))
+            return F.struct(F.when(F.length(x["part"][i]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), end.alias("at"))
+
+        none = F.array().cast(_SPANS)
+        return F.when(F.size(x["match"]) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["match"]) - 1), F.struct(none.alias("spans"), F.lit(0).alias("at")), step)["spans"])
+
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array().cast(_SPANS))
+
+
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,match:string>>"
+_KINDS = [k for k, *_ in PATTERNS] + ["random"]
+
+
+def _order(kind: str) -> int:
+    return _KINDS.index(kind)
+
+
+def prose_bits(token: Column, size: Column) -> Column:
+    """log2 of the likelihood ratio of uniform characters of the alphabet to characters of prose."""
+    import math
+
+    prose = sum((F.regexp_count(token, F.lit(c)) * F.lit(math.log2(p / n)) for c, p, n in PROSE), F.lit(0.0))
+    return -F.length(token) * F.log2(size.cast("double")) - prose
+
+
+def battery(token: Column) -> Column:
+    """Struct of the statistic of three tests and of the bits against prose; null for what no alphabet holds or is a number."""
+    bare = F.rtrim(token, F.lit("="))
+
+    def tested(t: Column, alphabet: str) -> Column:
+        size = len(alphabet)
+        values = F.transform(F.slice(F.split(t, ""), F.lit(1), F.length(t)), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
+
+        def of(v: Column) -> Column:
+            n = F.size(v).cast("double")
+            counts = F.transform(F.array_distinct(v), lambda a: F.size(F.filter(v, lambda b: a == b)).cast("double"))
+            squares = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c)
+            chi = (squares * size / n - n - (size - 1)) / (2.0 * (size - 1)) ** 0.5
+            middle = (size - 1) / 2
+            above = F.size(F.filter(v, lambda x: x > middle)).cast("double")
+            below = n - above
+            steps = F.sequence(F.lit(1), F.size(v) - 1)
+            changes = F.size(F.filter(steps, lambda i: (v[i] > middle) != (v[i - 1] > middle))).cast("double")
+            mean_runs = 2.0 * above * below / n
+            var_runs = F.greatest(mean_runs * (mean_runs - 1) / (n - 1), F.lit(1e-9))
+            # All on one side: no runs to count, surely not drawn evenly.
+            runs_z = F.when((above == 0) | (below == 0), F.lit(9.0)).otherwise((changes - mean_runs) / F.sqrt(var_runs))
+            mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / n
+            spread = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+            lagged = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + (v[i] - mean) * (v[i - 1] - mean))
+            serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(9.0))
+            upper = F.greatest(chi, F.lit(0.0))
+            return F.struct((upper * upper + runs_z * runs_z + serial * serial).alias("stat"), prose_bits(t, F.lit(size)).alias("bits"))
+
+        return let(values, of)
+
+    def of_token(t: Column) -> Column:
+        out = F.lit(None).cast("struct<stat:double,bits:double>")
+        for name, alphabet in reversed(ALPHABETS):
+            characters = "".join(f"\\{c}" if c in "+/-_" else c for c in alphabet)
+            out = F.when(t.rlike(f"^[{characters}]+$"), tested(t, alphabet)).otherwise(out)
+        return F.when(t.rlike("^[0-9]*$") | (F.length(t) < 16), F.lit(None)).otherwise(out)
+
+    return let(bare, of_token)
+
+
+def _random_spans(text: Column, words: Column, known: Column) -> Column:
+    """Spans of tokens that are random and not prose, beside the known ones."""
+    candidates = F.filter(_spans(text, "random", CANDIDATE, 0, 20), lambda s: s["match"].rlike("[0-9]|[A-Za-z].*[A-Z]") & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    scored = F.transform(candidates, lambda s: F.struct(s.alias("span"), battery(s["match"]).alias("b")))
+    likely = F.filter(scored, lambda x: x["b"].isNotNull() & (x["b"]["stat"] <= BATTERY) & (x["b"]["bits"] > 0))
+
+    def controlled(x: Column) -> Column:
+        # The largest k whose k-th largest e-value is at least words / (ALPHA k); all from there on are discoveries.
+        bits = F.reverse(F.array_sort(F.transform(x, lambda y: y["b"]["bits"])))
+        bar = F.log2(F.greatest(words, F.lit(1)).cast("double") / ALPHA)
+
+        def kept(b: Column) -> Column:
+            k = F.array_max(F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: b[i - 1] + F.log2(i.cast("double")) >= bar))
+            return F.when(k.isNull(), F.array().cast(_SPANS)).otherwise(F.transform(F.filter(x, lambda y: y["b"]["bits"] >= b[k - 1]), lambda y: y["span"]))
+
+        return F.when(F.size(x) == 0, F.array().cast(_SPANS)).otherwise(let(bits, kept))
+
+    return let(likely, controlled)
+
+
+def found_secrets(docs: DataFrame) -> DataFrame:
+    """``row`` (the columns of docs), ``base`` and ``spans``: arrays of spans in order of start, then kind."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("_t"))
+    based = rows.select("row", "_t", F.explode(F.array(F.sort_array(F.concat(*[_spans(F.col("_t"), *p) for p in PATTERNS])))).alias("base"))
+    return based.select("row", "base", F.explode(F.array(F.sort_array(F.concat("base", _random_spans(F.col("_t"), word_count(F.col("_t")), F.col("base")))))).alias("spans"))
+
+
+def written(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """docs with every secret replaced by MASK and n_chars counted anew where the text changed."""
+
+    def step(text: Column):
+        def of(acc: Column, s: Column) -> Column:
+            # Spans may overlap; what an earlier one has covered is not written twice.
+            start = F.greatest(s["start"], acc["at"])
+            fresh = s["end"] > acc["at"]
+            piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.when(s["start"] >= acc["at"], F.lit(MASK)).otherwise(F.lit("")))
+            return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
+
+        return of
+
+    found = found_secrets(docs)
+    text = F.col("row.text")
+    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step(text), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = found.withColumn("_new", F.when(F.size("spans") > 0, done))
+    columns = []
+    for c in docs.columns:
+        old = F.col(f"row.`{c}`")
+        if c == "text":
+            old = F.coalesce("_new", old)
+        elif c == "n_chars":
+            old = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(old)
+        columns.append(old.alias(c))
+    return changed.select(columns)
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found_secrets(docs).select("row.doc_id", *[of_kind(k) for k, *_ in PATTERNS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
