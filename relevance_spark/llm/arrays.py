@@ -98,14 +98,19 @@ def hash_words(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.empty(0, U), offsets
 
 
-def _hash_piece(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b" ".join(texts), np.uint8)
-    first, end = word_spans(buf)
+def span_hashes(buf: np.ndarray, first: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of each span of a byte array."""
     pw, inverse = powers(len(buf))
     total = np.empty(len(buf) + 1, U)
     total[0] = 0
     np.cumsum(_byte_values(fold)[buf] * pw, out=total[1:])
-    h = mix((total[end] - total[first]) * inverse[first] + (end - first).astype(U) * _ODD)
+    return mix((total[end] - total[first]) * inverse[np.minimum(first, max(len(buf) - 1, 0))] + (end - first).astype(U) * _ODD)
+
+
+def _hash_piece(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    buf = np.frombuffer(b" ".join(texts), np.uint8)
+    first, end = word_spans(buf)
+    h = span_hashes(buf, first, end, fold)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     upto = np.searchsorted(first, ends)
     return h, np.diff(upto, prepend=0)
