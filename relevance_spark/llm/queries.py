@@ -8,8 +8,11 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_mix_sources": "mixing",
+    "op3_quality_classifier": "quality_classifier",
+    "op4_secret_scan": "secret_scan",
     "op5_minhash_dedup": "minhash",
     "op6_token_counts": "bpe",
+    "op7_sentencepiece": "sentencepiece_lattice",
     "op8_fingerprints": "fingerprints",
     "op9_lm_scoring": "language_model",
     "op10_substring_dedup": "substrings",
