@@ -70,7 +70,7 @@ def window_hashes(h: np.ndarray, width: int, base=_BASE) -> np.ndarray:
     total = np.empty(len(h) + 1, U)
     total[0] = 0
     np.cumsum(h * pw, out=total[1:])
-    return mix((total[width:] - total[:n]) * inverse[:n] + U(width * int(_ODD) % 2**64))
+    return mix((total[width:] - total[:n]) * inverse[:n] + U(int(width) * int(_ODD) % 2**64))
 
 
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +136,17 @@ def encode_texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches, most: int = 4_000_000):
+    """Slices of record batches whose column ``text`` has about so many bytes; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // most
+        for a, n in zip(*runs(part), strict=True):
+            yield batch.slice(a, n)
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the runs of equal values, and the length of each."""
     if not len(sorted_values):

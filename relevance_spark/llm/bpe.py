@@ -112,7 +112,7 @@ def count_tokens(text: str, counts: Counts) -> int:
 def _counter(path: str):
     def run(batches):
         counts = counts_of(path)
-        for batch in batches:
+        for batch in arrays.pieces(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n = np.fromiter((count_tokens(x, counts) for x in texts), np.int64, len(texts))
             size = np.fromiter((len(x) for x in arrays.encode_texts(batch.column("text"))), np.int64, len(texts))

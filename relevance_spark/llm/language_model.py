@@ -96,18 +96,18 @@ def merged(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-#: Arrow batches that a task counts together: so many characters of text, about.
-GATHER = 12_000_000
+#: Bytes of text that are counted together, and that are scored together; memory is some thirty times that.
+COUNTED, SCORED = 14_000_000, 5_000_000
 
 
 def _gathered(batches):
     """Texts of several batches at a time."""
     out, size = [], 0
-    for batch in batches:
+    for batch in arrays.pieces(batches, 2_000_000):
         texts = arrays.encode_texts(batch.column("text"))
         out += texts
         size += sum(map(len, texts))
-        if size > GATHER:
+        if size > COUNTED:
             yield out
             out, size = [], 0
     if out:
@@ -306,17 +306,9 @@ def _scorer(model: dict):
         ], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches):
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            got = arrays.encode_texts(batch.column("text"))
-            ids += batch.column("doc_id").to_pylist()
-            texts += got
-            size += sum(map(len, got))
-            if size > GATHER:
-                yield score(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield score(ids, texts)
+        for batch in arrays.pieces(batches, SCORED):
+            if batch.num_rows:
+                yield score(batch.column("doc_id").to_pylist(), arrays.encode_texts(batch.column("text")))
 
     return run
 

@@ -50,7 +50,7 @@ def _sketcher(width: int):
     import xxhash
 
     def run(batches):
-        for batch in batches:
+        for batch in arrays.pieces(batches):
             sets = shingle_sets(arrays.encode_texts(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),

@@ -63,7 +63,7 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 def _feature_rows(batches):
-    for batch in batches:
+    for batch in arrays.pieces(batches):
         x = features(arrays.encode_texts(batch.column("text")))
         keep = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "x"])
@@ -134,7 +134,7 @@ def probabilities(model: dict, x: np.ndarray) -> np.ndarray:
 
 def _scorer(model: dict):
     def run(batches):
-        for batch in batches:
+        for batch in arrays.pieces(batches):
             p = probabilities(model, features(arrays.encode_texts(batch.column("text"))).astype(float))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 

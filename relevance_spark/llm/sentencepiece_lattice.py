@@ -254,10 +254,8 @@ def _encoder(path: str, dictionary: dict, with_ids: bool):
         return pa.RecordBatch.from_arrays(out, ["doc_id", "n_pieces", "ids_sha256", "restored"] + ["ids"] * with_ids)
 
     def run(batches):
-        for batch in batches:
-            # A few megabytes of text at a time, whatever the batch.
-            for at in range(0, batch.num_rows, 1000):
-                yield encode(batch.slice(at, 1000))
+        for batch in arrays.pieces(batches, 2_000_000):
+            yield encode(batch)
 
     return run
 

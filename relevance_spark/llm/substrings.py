@@ -60,8 +60,8 @@ _TYPES = [pa.int64(), pa.int64(), pa.binary()]
 
 def _anchor_rows(window: int, n: int):
     def run(batches):
-        # A task holds whole blocks; what leaves a batch is distinct within it and the batch's block.
-        for batch in batches:
+        # What leaves a slice of a block is distinct within it.
+        for batch in arrays.pieces(batches, 8_000_000):
             if not batch.num_rows:
                 continue
             block = batch.column("block").to_numpy()
