@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from relevance_spark.plans import agents, dense, lexical, objectives, preparation, quality
+
+_PARTS = (lexical, dense, quality, preparation, agents, objectives)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for part in _PARTS for name, (fn, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
