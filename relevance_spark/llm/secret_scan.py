@@ -141,9 +141,11 @@ def _random_spans(text: Column, words: Column, known: Column) -> Column:
 
 def found_secrets(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of docs), ``base`` and ``spans``: arrays of spans in order of start, then kind."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("_t"))
-    based = rows.select("row", "_t", F.explode(F.array(F.sort_array(F.concat(*[_spans(F.col("_t"), *p) for p in PATTERNS])))).alias("base"))
-    return based.select("row", "base", F.explode(F.array(F.sort_array(F.concat("base", _random_spans(F.col("_t"), word_count(F.col("_t")), F.col("base")))))).alias("spans"))
+    text = text_or_empty()
+    base = F.sort_array(F.concat(*[_spans(text, *p) for p in PATTERNS]))
+    both = let(base, lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, _random_spans(text, word_count(text), b))).alias("spans")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), both.alias("found"))
+    return rows.select("row", "found.base", "found.spans")
 
 
 def written(spans: Column) -> Column:

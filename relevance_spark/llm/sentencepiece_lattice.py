@@ -1,6 +1,7 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-A text, with a word start before it and for each space, falls into segments: word starts and what follows them. The
+A text, with a word start before it and for each space, falls into segments: before word starts, and between a letter
+and an ASCII character that no piece joins to a letter, where every path has a boundary. The
 distinct segments of all texts are exploded into their substrings up to the longest piece, these are joined with the
 piece table, the edges are grouped by segment, and a higher-order aggregate folds them into the best path: the largest
 sum of piece scores, the longest last piece among equals. A character without a piece falls back to its bytes. The
@@ -32,6 +33,28 @@ LONG = 128
 UNKNOWN = 10.0
 
 
+def _joined_pairs(pieces: list[str]) -> np.ndarray:
+    """Which kinds of characters stand side by side in any piece: a letter and each ASCII character, both ways.
+
+    Kinds are bytes of UTF-8 with all letters a-z and A-Z as one; whatever is not ASCII counts as joined.
+    """
+    out = np.zeros((256, 256), bool)
+    out[128:], out[:, 128:] = True, True
+    for p in pieces:
+        k = _KIND[np.frombuffer(p.replace(START, " ").encode(), np.uint8)]
+        out[k[:-1], k[1:]] = True
+    return out
+
+
+def _kinds() -> np.ndarray:
+    k = np.arange(256, dtype=np.uint8)
+    k[65:91] = k[97:123] = 97
+    return k
+
+
+_KIND = _kinds()
+
+
 @cache
 def pieces_of(path: str) -> dict:
     """Pieces with id and score, the id of the first byte piece, the longest piece, the score of an unknown character."""
@@ -44,6 +67,7 @@ def pieces_of(path: str) -> dict:
         "rows": plain,
         "by_text": {p: (i, s) for p, i, s in plain},
         "byte0": sp.piece_to_id("<0x00>"),
+        "pairs": _joined_pairs([p for p, *_ in plain]),
         "longest": max(len(p) for p, *_ in plain),
         "unknown": min(s for *_, s in plain) - UNKNOWN,
         "bytes": [bytes([i - sp.piece_to_id("<0x00>")]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(START, " ").encode() for i in ids],
@@ -72,54 +96,104 @@ def best_path(segment: str, table: dict) -> list[int]:
     return [i for ids in reversed(out) for i in ids]
 
 
-def segments(text: Column) -> Column:
+def cut_pattern(table: dict) -> str:
+    """Where a marked text is cut: before word starts, and between a letter and a character that no piece joins to one."""
+    written = lambda codes: "".join(f"\\x{{{c:x}}}" for c in codes)
+    ascii_ = [c for c in range(128) if c != 32 and _KIND[c] == c and c != 97]
+    after = written(c for c in ascii_ if not table["pairs"][97, c])
+    before = written(c for c in ascii_ if not table["pairs"][c, 97])
+    cuts = [f"(?<!{START})(?={START})"]
+    cuts += [f"(?<=[a-zA-Z])(?=[{after}])"] if after else []
+    cuts += [f"(?<=[{before}])(?=[a-zA-Z])"] if before else []
+    return "|".join(cuts)
+
+
+def cuts_between(table: dict) -> np.ndarray:
+    """The same rule over pairs of bytes, spaces standing for word starts."""
+    out = np.zeros((256, 256), bool)
+    letters = np.flatnonzero((_KIND == 97))
+    for c in range(128):
+        if c != 32 and c not in letters:
+            out[letters, c] = not table["pairs"][97, c]
+            out[c, letters] = not table["pairs"][c, 97]
+    out[:, 32] = True
+    out[32, 32] = False
+    return out
+
+
+def segments(text: Column, table: dict) -> Column:
     """Array of the segments of one text."""
     marked = F.concat(F.lit(START), F.replace(text, F.lit(" "), F.lit(START)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"{START}+[^{START}]*"), F.lit(0)))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(marked, cut_pattern(table), -1))
+
+
+#: Words of one task of the lattice, about; their edges are grouped in memory.
+TASK_WORDS = 12_000
+#: An edge in one number: end, start and piece. The last piece number stands for the bytes of one character.
+_START, _END, _BYTES = 1 << 24, 1 << 32, (1 << 24) - 1
 
 
 def lattice(words: DataFrame, table: dict) -> DataFrame:
-    """``word`` to one row per edge: word, end, start, score, ids. Every place has a single-character edge."""
-    longest, byte0 = table["longest"], table["byte0"]
+    """``word`` to one row per edge: word, edge, score. Every place has a single-character edge."""
+    longest = table["longest"]
     pieces = words.sparkSession.createDataFrame(table["rows"], "piece string, id int, score double")
+    place = lambda end, start: end.cast("long") * _END + start.cast("long") * _START
     spans = F.transform(
         F.sequence(F.lit(1), F.length("word")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda n: F.struct((i + n - 1).alias("end"), (i - 1).alias("start"), F.substring(F.col("word"), i, n).alias("part"))),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda n: F.struct(place(i + n - 1, i - 1).alias("at"), n.alias("n"), F.substring(F.col("word"), i, n).alias("part"))),
     )
-    exploded = words.select("word", F.explode(F.flatten(spans)).alias("e")).select("word", "e.*")
+    exploded = words.select("word", F.explode(F.flatten(spans)).alias("e")).select("word", "e.at", "e.n", "e.part")
     # The piece table has as many rows as the vocabulary, whatever the input.
-    joined = exploded.join(F.broadcast(pieces), exploded.part == pieces.piece, "left").where("id IS NOT NULL OR end - start = 1")
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("part")), lambda b: (F.conv(F.substring(F.hex(F.encode("part", "UTF-8")), 2 * b - 1, F.lit(2)), 16, 10).cast("int") + byte0))
-    return joined.select("word", "end", "start", F.coalesce("score", F.lit(table["unknown"])).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"))
+    joined = exploded.join(F.broadcast(pieces), exploded.part == pieces.piece, "left").where("id IS NOT NULL OR n = 1")
+    return joined.select("word", (F.col("at") + F.coalesce(F.col("id"), F.lit(_BYTES))).alias("edge"), F.coalesce("score", F.lit(table["unknown"])).alias("score"))
 
 
 def viterbi(edges: Column) -> Column:
-    """Pieces of the best path over an array of (end, start, score, ids)."""
-    step_t = "struct<best:double,back:int,ids:array<int>>"
-    begin = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("back"), F.array().cast("array<int>").alias("ids")).cast(step_t))
+    """Edges of the best path over an array of (edge, score)."""
+    begin = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0).cast("long")).alias("way"))
 
     def step(acc: Column, e: Column) -> Column:
-        # acc[p]: best way to place p. Edges come in order of their end, so each extends the array or betters its last entry.
-        way = F.struct((acc[e["start"]]["best"] + e["score"]).alias("best"), e["start"].alias("back"), e["ids"].alias("ids")).cast(step_t)
-        return F.when(F.size(acc) <= e["end"], F.concat(acc, F.array(way))).when(way["best"] > acc[e["end"]]["best"], F.concat(F.slice(acc, F.lit(1), e["end"]), F.array(way))).otherwise(acc)
+        # best[p], way[p]: the best way to place p and its last edge. Edges come in order of their end, so each either
+        # adds a place or betters the last one.
+        end = F.shiftright(e["edge"], 32).cast("int")
+        score = acc["best"][(F.shiftright(e["edge"], 24) % 256).cast("int")] + e["score"]
+        more = F.struct(F.concat(acc["best"], F.array(score)).alias("best"), F.concat(acc["way"], F.array(e["edge"])).alias("way"))
+        other = F.struct(F.concat(F.slice(acc["best"], F.lit(1), end), F.array(score)).alias("best"), F.concat(F.slice(acc["way"], F.lit(1), end), F.array(e["edge"])).alias("way"))
+        return F.when(F.size(acc["best"]) <= end, more).when(score > acc["best"][end], other).otherwise(acc)
 
-    def trace(ways: Column) -> Column:
-        def back(acc: Column, p: Column) -> Column:
-            taken = F.struct(ways[p]["back"].alias("at"), F.concat(ways[p]["ids"], acc["ids"]).alias("ids"))
-            return F.when(acc["at"] == p, taken).otherwise(acc)
+    def trace(acc: Column) -> Column:
+        ways = acc["way"]
 
-        start = F.struct((F.size(ways) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), start, back)["ids"]
+        def back(path: Column, p: Column) -> Column:
+            taken = F.struct((F.shiftright(ways[p], 24) % 256).cast("int").alias("at"), F.concat(F.array(ways[p]), path["edges"]).alias("edges"))
+            return F.when(path["at"] == p, taken).otherwise(path)
+
+        start = F.struct((F.size(ways) - 1).alias("at"), F.array().cast("array<bigint>").alias("edges"))
+        return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), start, back)["edges"]
 
     return F.aggregate(F.sort_array(edges), begin, step, trace)
 
 
-def encoded_segments(docs: DataFrame, path: str) -> DataFrame:
+def ids_of_path(edges: Column, byte0: int) -> Column:
+    """Piece numbers along a path; a character without a piece gives those of its bytes."""
+
+    def of(e: Column) -> Column:
+        start, end = (F.shiftright(e, 24) % 256).cast("int"), F.shiftright(e, 32).cast("int")
+        part = F.hex(F.encode(F.substring(F.col("word"), start + 1, end - start), "UTF-8"))
+        as_bytes = F.transform(F.sequence(F.lit(1), (F.length(part) / 2).cast("int")), lambda b: F.conv(F.substring(part, 2 * b - 1, F.lit(2)), 16, 10).cast("int") + byte0)
+        return F.when(e % _START == _BYTES, as_bytes).otherwise(F.array((e % _START).cast("int")))
+
+    return F.flatten(F.transform(edges, of))
+
+
+def encoded_segments(docs: DataFrame, path: str, ws: Workspace) -> DataFrame:
     """(word, ids) for every distinct segment of all texts."""
     table = pieces_of(path)
-    words = docs.select(F.explode(F.array_distinct(segments(text_or_empty()))).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word")
-    short = lattice(words.where(F.length("word") <= LONG), table).groupBy("word").agg(F.collect_list(F.struct("end", "start", "score", "ids")).alias("edges"))
-    short = short.select("word", viterbi(F.col("edges")).alias("ids"))
+    words = ws.save(docs.select(F.explode(F.array_distinct(segments(text_or_empty(), table))).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "words")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
+    # Dealt out by word, its edges never leave the task that makes them.
+    short = lattice(words.where(F.length("word") <= LONG).repartition(parts, "word"), table).groupBy("word").agg(F.collect_list(F.struct("edge", "score")).alias("edges"))
+    short = short.select("word", ids_of_path(viterbi(F.col("edges")), table["byte0"]).alias("ids"))
 
     def fold(batches):
         own = pieces_of(path)
@@ -130,8 +204,8 @@ def encoded_segments(docs: DataFrame, path: str) -> DataFrame:
     return short.union(words.where(F.length("word") > LONG).mapInArrow(fold, "word string, ids array<int>"))
 
 
-def hash_segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the segments of all texts, and the offsets of each text's; word starts are single spaces here."""
+def hash_segments(texts: list[bytes], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the segments of all texts, and the offsets of each text's; word starts are spaces here."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     at = 0
     while at < len(texts):
@@ -143,9 +217,8 @@ def hash_segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(b"".join(part), np.uint8)
         bounds = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
         if len(buf):
-            blank = buf == 32
-            first = blank.copy()
-            first[1:] &= ~blank[:-1]
+            first = np.ones(len(buf), bool)
+            first[1:] = cuts[buf[:-1], buf[1:]]
             first[bounds[:-1][bounds[:-1] < len(buf)]] = True
             starts = np.flatnonzero(first)
             ends = np.append(starts[1:], len(buf))
@@ -161,8 +234,7 @@ def plain_spaces(text: bytes) -> bytes:
 
 def _store(uri: str, n: int):
     def run(key, table):
-        words = [plain_spaces(w.encode())[1:] for w in table.column("word").to_pylist()]
-        h = arrays.span_hashes(*_spans([b" " + w for w in words]))
+        h = arrays.span_hashes(*_spans([plain_spaces(w.encode()) for w in table.column("word").to_pylist()]))
         order = np.argsort(h)
         ids = table.column("ids").combine_chunks()
         lengths = np.diff(ids.offsets.to_numpy())
@@ -187,7 +259,7 @@ def _bucketed(n: int):
 
     def run(batches):
         for batch in batches:
-            words = [b" " + plain_spaces(w.encode())[1:] for w in batch.column("word").to_pylist()]
+            words = [plain_spaces(w.encode()) for w in batch.column("word").to_pylist()]
             h = arrays.span_hashes(*_spans(words)) if words else np.empty(0, U)
             bucket = ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("word"), batch.column("ids")], ["bucket", "word", "ids"])
@@ -198,8 +270,16 @@ def _bucketed(n: int):
 def build_dictionary(docs: DataFrame, path: str, ws: Workspace) -> dict:
     """Encode all distinct segments and leave them as arrays in the shared folder."""
     n, uri = blocks.n_blocks(docs, 40_000_000), f"{ws.uri}/segments"
-    encoded = encoded_segments(docs, path).mapInArrow(_bucketed(n), "bucket long, word string, ids array<int>")
-    words = encoded.groupBy("bucket").applyInArrow(_store(uri, n), "bucket long, words long").agg(F.sum("words")).first()[0]
+    encoded = encoded_segments(docs, path, ws).mapInArrow(_bucketed(n), "bucket long, word string, ids array<int>")
+    # A task groups the edges of some thousand words in memory instead of sorting them all.
+    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    conf.set(name, str(4 * TASK_WORDS))
+    try:
+        words = encoded.groupBy("bucket").applyInArrow(_store(uri, n), "bucket long, words long").agg(F.sum("words")).first()[0]
+    finally:
+        conf.set(name, before)
+    ws.drop("words")
     return {"uri": uri, "n": n, "words": words or 0}
 
 
@@ -236,10 +316,12 @@ def decoded(ids: np.ndarray, path: str) -> bytes:
 
 
 def _encoder(path: str, dictionary: dict, with_ids: bool):
+    cuts = cuts_between(pieces_of(path))
+
     def encode(batch):
         texts = arrays.encode_texts(batch.column("text"))
         plain = [plain_spaces(x) for x in texts]
-        h, off = hash_segments(plain)
+        h, off = hash_segments(plain, cuts)
         ids, sizes = ids_of(h, dictionary)
         bounds = np.concatenate(([0], np.cumsum(sizes)))[off]
         counts, digests, same = [], [], []
