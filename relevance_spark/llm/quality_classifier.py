@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     z, zp = raw_scores(model, x[0]), raw_scores(model, x[1])
     # The threshold stands below all but a few of the trusted positives, by a share of their spread.
     low, middle = np.quantile(zp, [0.005, 0.5])
-    model["at"] = float(low - 0.25 * (middle - low))
+    model["at"] = float(low - 0.6 * (middle - low))
     model["slope"] = float(1 / max(z.std(), 1e-6))
     return model
 
