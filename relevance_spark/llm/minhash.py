@@ -133,6 +133,18 @@ def forest(n: int, near) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest as edges from the smallest id of each tree: lists that share members then give equal edges."""
+    root = np.arange(len(ids))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[y] = root[x]
+    low = ids.copy()
+    np.minimum.at(low, root, ids)
+    centre = low[root]
+    out = centre != ids
+    return centre[out], ids[out]
+
+
 def _candidates(limit: float):
     def of_group(table: pa.Table):
         ids = table.column("rep").to_numpy()
@@ -151,7 +163,7 @@ def _candidates(limit: float):
             return out
 
         a, b = forest(n, near)
-        return ids[a], ids[b]
+        return stars(ids, a, b)
 
     def run(batches):
         pairs, n = [], 0
@@ -190,7 +202,7 @@ def _verifier(width: int, percent: int):
         ids = table.column("rep").to_numpy()
         sets = shingle_sets(arrays.encode_texts(table.column("text")), width)
         a, b = exact_links(sets, percent)
-        return ids[a], ids[b]
+        return stars(ids, a, b)
 
     def run(batches):
         for p in _grouped(batches, None, of_group):
