@@ -134,42 +134,40 @@ _START, _END, _BYTES = 1 << 24, 1 << 32, (1 << 24) - 1
 
 
 def lattice(words: DataFrame, table: dict) -> DataFrame:
-    """``word`` to one row per edge: word, edge, score. Every place has a single-character edge."""
-    longest = table["longest"]
+    """``word`` to one row per edge: word, edge, score, start, end. Every place has a single-character edge.
+
+    Two explodes of number sequences, by end and then by start, stay in generated code, and bring the edges of a word
+    out in the order that the fold needs.
+    """
     pieces = words.sparkSession.createDataFrame(table["rows"], "piece string, id int, score double")
-    place = lambda end, start: end.cast("long") * _END + start.cast("long") * _START
-    spans = F.transform(
-        F.sequence(F.lit(1), F.length("word")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda n: F.struct(place(i + n - 1, i - 1).alias("at"), n.alias("n"), F.substring(F.col("word"), i, n).alias("part"))),
-    )
-    exploded = words.select("word", F.explode(F.flatten(spans)).alias("e")).select("word", "e.at", "e.n", "e.part")
+    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
+    spans = ends.select("word", "end", F.explode(F.sequence(F.greatest(F.lit(0), F.col("end") - table["longest"]), F.col("end") - 1)).alias("start"))
+    spans = spans.select("word", "end", "start", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")).alias("part"))
     # The piece table has as many rows as the vocabulary, whatever the input.
-    joined = exploded.join(F.broadcast(pieces), exploded.part == pieces.piece, "left").where("id IS NOT NULL OR n = 1")
-    return joined.select("word", (F.col("at") + F.coalesce(F.col("id"), F.lit(_BYTES))).alias("edge"), F.coalesce("score", F.lit(table["unknown"])).alias("score"))
+    joined = spans.join(F.broadcast(pieces), spans.part == pieces.piece, "left").where("id IS NOT NULL OR start = end - 1")
+    edge = F.col("end").cast("long") * _END + F.col("start").cast("long") * _START + F.coalesce(F.col("id"), F.lit(_BYTES))
+    return joined.select("word", edge.alias("edge"), F.coalesce("score", F.lit(table["unknown"])).alias("score"), "start", "end")
 
 
 def viterbi(edges: Column) -> Column:
-    """Edges of the best path over an array of (edge, score)."""
-    begin = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0).cast("long")).alias("way"))
+    """Edges of the best path over an array of (edge, score, start, end)."""
+    begin = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).cast("long").alias("way"), F.lit(0).alias("start")))
 
     def step(acc: Column, e: Column) -> Column:
-        # best[p], way[p]: the best way to place p and its last edge. Edges come in order of their end, so each either
-        # adds a place or betters the last one.
-        end = F.shiftright(e["edge"], 32).cast("int")
-        score = acc["best"][(F.shiftright(e["edge"], 24) % 256).cast("int")] + e["score"]
-        more = F.struct(F.concat(acc["best"], F.array(score)).alias("best"), F.concat(acc["way"], F.array(e["edge"])).alias("way"))
-        other = F.struct(F.concat(F.slice(acc["best"], F.lit(1), end), F.array(score)).alias("best"), F.concat(F.slice(acc["way"], F.lit(1), end), F.array(e["edge"])).alias("way"))
-        return F.when(F.size(acc["best"]) <= end, more).when(score > acc["best"][end], other).otherwise(acc)
+        # acc[p]: the best way to place p, its last edge and where that starts. Edges come in order of their end, so
+        # each either adds a place or betters the last one.
+        score = acc[e["start"]]["best"] + e["score"]
+        place = F.array(F.struct(score.alias("best"), e["edge"].alias("way"), e["start"].alias("start")))
+        better = F.concat(F.slice(acc, F.lit(1), e["end"]), place)
+        return F.when(F.size(acc) <= e["end"], F.concat(acc, place)).when(score > acc[e["end"]]["best"], better).otherwise(acc)
 
     def trace(acc: Column) -> Column:
-        ways = acc["way"]
-
         def back(path: Column, p: Column) -> Column:
-            taken = F.struct((F.shiftright(ways[p], 24) % 256).cast("int").alias("at"), F.concat(F.array(ways[p]), path["edges"]).alias("edges"))
+            taken = F.struct(acc[p]["start"].alias("at"), F.concat(F.array(acc[p]["way"]), path["edges"]).alias("edges"))
             return F.when(path["at"] == p, taken).otherwise(path)
 
-        start = F.struct((F.size(ways) - 1).alias("at"), F.array().cast("array<bigint>").alias("edges"))
-        return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), start, back)["edges"]
+        start = F.struct((F.size(acc) - 1).alias("at"), F.array().cast("array<bigint>").alias("edges"))
+        return F.aggregate(F.sequence(F.size(acc) - 1, F.lit(1), F.lit(-1)), start, back)["edges"]
 
     return F.aggregate(F.sort_array(edges), begin, step, trace)
 
@@ -192,7 +190,7 @@ def encoded_segments(docs: DataFrame, path: str, ws: Workspace) -> DataFrame:
     words = ws.save(docs.select(F.explode(F.array_distinct(segments(text_or_empty(), table))).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "words")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
     # Dealt out by word, its edges never leave the task that makes them.
-    short = lattice(words.where(F.length("word") <= LONG).repartition(parts, "word"), table).groupBy("word").agg(F.collect_list(F.struct("edge", "score")).alias("edges"))
+    short = lattice(words.where(F.length("word") <= LONG).repartition(parts, "word"), table).groupBy("word").agg(F.collect_list(F.struct("edge", "score", "start", "end")).alias("edges"))
     short = short.select("word", ids_of_path(viterbi(F.col("edges")), table["byte0"]).alias("ids"))
 
     def fold(batches):
