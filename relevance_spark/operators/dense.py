@@ -16,6 +16,8 @@ from relevance_spark.operators.ranking import DECIMALS, by_score, top_k
 
 #: Query vectors in one matrix: 4096 of 1024 floats make 32 MB.
 CHUNK = 4096
+#: The approximate index: tables, bits of a bucket, and how many times k is fetched before a filter.
+TABLES, BITS, OVERFETCH = 64, 6, 10
 
 
 def check_vectors(df: DataFrame, dim: int, vec: str = "vec", item: str = "id") -> None:
@@ -90,7 +92,7 @@ def signatures(planes: np.ndarray):
     return run
 
 
-def approximate_search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables: int = 16, bits: int = 6, seed: int = 42, overfetch: int = 4, predicate=None) -> DataFrame:
+def approximate_search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 42, overfetch: int = OVERFETCH, predicate=None) -> DataFrame:
     """Locality-sensitive hashing: every row is in ``tables`` buckets; candidates share one with the query.
 
     Over-fetches k * overfetch and filters afterwards, so that fewer than k rows may be left, as with any such index.

@@ -48,6 +48,16 @@ def test_dense_brute_force(spark, metric):
     assert dense.search(queries, corpus_df, 100).count() == 240
 
 
+def test_approximate_recall(spark, data):
+    """The registered search itself, filter and all, against the exact top ten."""
+    from relevance_spark.plans import dense as plans
+
+    r = plans.ann_recall_vs_exact(spark, data).agg(F.avg("recall"), F.avg("filtered_recall")).first()
+    exact = dense.search(plans.searched(spark, data), plans.vectors(spark, data).where("label < 5"), 10)
+    hits = plans.ann_overfetch_postfilter(spark, data).join(exact, ["query_id", "id"], "left_semi").count()
+    assert min(*r, hits / exact.count()) >= 0.9 and dense.OVERFETCH == 10
+
+
 def test_metrics_by_hand(spark):
     run = spark.createDataFrame([(1, x, i + 1) for i, x in enumerate("abcde")], "query_id long, id string, rank int")
     rel = spark.createDataFrame([(1, x, 1.0) for x in "bdz"] + [(2, "q", 1.0), (3, "q", 0.0)], "query_id long, id string, rel double")
