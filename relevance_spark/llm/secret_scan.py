@@ -2,12 +2,15 @@
 
 All in one projection of built-in functions. A pattern's matches and the pieces between them give each match's place in
 code points. The battery looks at runs of 20 or more characters of the usual encodings that hold digits or inner
-capitals; pure numbers are not looked at. For each, the encoding with the smallest alphabet that fits is inferred, and
+capitals; pure numbers are not looked at. '=' is padding at the end and ends a run elsewhere, so that name=VALUE leaves
+VALUE. What a run holds of one alphabet is looked at as a whole, from its first part that is no plain word or number
+(after a path or an identifier), and between joints ('+', '/', '_', '-'); of discoveries inside one another the longest
+counts. For each, the encoding with the smallest alphabet that fits is inferred, and
 
 * chi-squared of the alphabet's uniformity, the number of runs above and below the middle of the alphabet, and the
   serial correlation of neighbours must not reject uniform randomness together (chi-squared of three, BATTERY);
 * the likelihood ratio of uniform characters to those of prose is an e-value against "this is prose". The words of a
-  text are its hypotheses; e-values are compared as in Benjamini-Hochberg (the k-th largest with words / (ALPHA k)),
+  text, and the candidates inside another one, are its hypotheses; e-values are compared as in Benjamini-Hochberg (the k-th largest with words / (ALPHA k)),
   which controls false discoveries however they depend, asks more in longer texts and less of longer tokens.
 
 Null and empty texts hold no secrets. Spans of the battery that touch one of a pattern are left out.
@@ -26,8 +29,11 @@ PATTERNS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-#: What the battery looks at.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that hold what the battery looks at, and their parts of one alphabet; least length of both with padding.
+RUN = r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+PLAIN = r"(?<![A-Za-z0-9])(?![A-Za-z]?[a-z]*[0-9]{0,4}[+/_-])"
+PARTS = [r"[A-Za-z0-9+/]{16,}=*", r"[A-Za-z0-9_-]{16,}=*", PLAIN + r"[A-Za-z0-9+/]{16,}=*", PLAIN + r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9]{16,}=*"]
+LEAST = 20
 #: Alphabets in order of size; the first that holds every character of a token (less padding) is its encoding.
 ALPHABETS = [
     ("hex", "0123456789abcdef"),
@@ -119,16 +125,34 @@ def battery(token: Column) -> Column:
     return let(bare, of_token)
 
 
+def _inside(x: Column, y: Column) -> Column:
+    return (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x != y)
+
+
+def _parts(run: Column) -> Column:
+    """Spans of a run's parts of one alphabet, in places of the text."""
+
+    def moved(s: Column) -> Column:
+        return F.struct((run["start"] + s["start"]).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (run["start"] + s["end"]).alias("end"), s["match"].alias("match"))
+
+    return F.transform(F.array_distinct(F.concat(*[_spans(run["match"], "random", p, 0, LEAST) for p in PARTS])), moved)
+
+
 def _random_spans(text: Column, words: Column, known: Column) -> Column:
     """Spans of tokens that are random and not prose, beside the known ones."""
-    candidates = F.filter(_spans(text, "random", CANDIDATE, 0, 20), lambda s: s["match"].rlike("[0-9]|[A-Za-z].*[A-Z]") & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    parts = F.flatten(F.transform(_spans(text, "random", RUN, 0, LEAST), _parts))
+    candidates = F.filter(parts, lambda s: s["match"].rlike("[0-9]|[A-Za-z].*[A-Z]") & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    return let(candidates, lambda c: _discoveries(c, words + F.size(F.filter(c, lambda x: F.exists(c, lambda y: _inside(x, y))))))
+
+
+def _discoveries(candidates: Column, hypotheses: Column) -> Column:
     scored = F.transform(candidates, lambda s: F.struct(s.alias("span"), battery(s["match"]).alias("b")))
     likely = F.filter(scored, lambda x: x["b"].isNotNull() & (x["b"]["stat"] <= BATTERY) & (x["b"]["bits"] > 0))
 
     def controlled(x: Column) -> Column:
         # The largest k whose k-th largest e-value is at least words / (ALPHA k); all from there on are discoveries.
         bits = F.reverse(F.array_sort(F.transform(x, lambda y: y["b"]["bits"])))
-        bar = F.log2(F.greatest(words, F.lit(1)).cast("double") / ALPHA)
+        bar = F.log2(F.greatest(hypotheses, F.lit(1)).cast("double") / ALPHA)
 
         def kept(b: Column) -> Column:
             k = F.array_max(F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: b[i - 1] + F.log2(i.cast("double")) >= bar))
@@ -136,7 +160,7 @@ def _random_spans(text: Column, words: Column, known: Column) -> Column:
 
         return F.when(F.size(x) == 0, F.array().cast(_SPANS)).otherwise(let(bits, kept))
 
-    return let(likely, controlled)
+    return let(let(likely, controlled), lambda d: F.filter(d, lambda x: ~F.exists(d, lambda y: _inside(x, y))))
 
 
 def found_secrets(docs: DataFrame) -> DataFrame:

@@ -128,6 +128,20 @@ def test_secrets(docs, texts, empty):
     assert masked[1001].text is None and secret_scan.mask_secrets(empty).count() == 0 and secret_scan.mask_secrets(docs).columns == docs.columns
 
 
+def test_secrets_in_context(spark):
+    """Values after a name and '=', after paths and identifiers, with and without padding; prose of that kind is left."""
+    plain, url, slashed = "Zx9Qm3LpV7tRw2KsYb8Nc4Hd6JfGu1Ae5Xo0", "Zx9Qm3Lp-7tRw2KsYb8_c4Hd6JfGu1Ae5Xo0", "Zx9Qm3Lp/7tRw2KsYb8+c4Hd6JfGu1Ae5Xo0"
+    before = ["auth=", "?user=1&sig=", "client_key=", "x=y=", "srv/my_app-v2/", "/home/someone/the_project/", "my_client-name/", "some_long_identifier_of_a-thing/"]
+    rows = [(b, v, e) for b in before for v in (plain, url, slashed) for e in ("", "==", "&n=1")]
+    rows += [(t, "", "") for t in ("path/to/some_long-name/of_a_file/in_the-tree.txt", "a=b&next_page=some-long_identifier/of2020/things", "==== ____ ---- //////////////////////////")]
+    df = spark.createDataFrame([(i, "".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    for r in secret_scan.mask_secrets(df).collect():
+        b, v, e = rows[r.doc_id]
+        # A span may begin with the end of a path, never inside the value or before a '='.
+        left = r.text.split("[SECRET]")
+        assert (len(left) == 2 and b.startswith(left[0]) and b.rpartition("=")[0] in left[0] and left[1] == e.strip("=")) if v else r.text == b, (r.text, rows[r.doc_id])
+
+
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(docs, texts, empty, width, percent):
     rows = minhash.near_duplicates(docs, width, percent).collect()
