@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from relevance_spark.llm import arrays
 from relevance_spark.llm.arrays import U
 from relevance_spark.llm.components import components
-from relevance_spark.llm.shared import Workspace, maybe_broadcast
+from relevance_spark.llm.shared import Workspace, maybe_broadcast, text_or_empty, word_count
 
 #: Retained values; how many of them make runs; values in a run.
 KEEP, RUN_OVER, RUN = 64, 40, 3
@@ -258,13 +258,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ws: Work
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, with the columns of docs.
 
-    Rows of a repeated doc_id have one verdict; of those that stay one row a doc_id is kept, rows without an id all.
+    Rows of a repeated doc_id have one verdict, that of the rows with words; of those that stay one row a doc_id is kept
+    (the smallest of all columns in order, one with words before those without), rows without an id all.
     """
     ws = Workspace(docs.sparkSession, "minhash")
-    verdict = near_duplicates(docs, width, percent, ws).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    verdict = ws.save(verdict, "verdict")
-    gone = ws.save(docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").join(verdict, "_id", "left_anti").distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    rows = near_duplicates(docs, width, percent, ws).where("doc_id IS NOT NULL")
+    verdict = ws.save(rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "verdict")
+    few = verdict.count()
+    of = docs["doc_id"].cast("long") == F.col("_id")
+    once = docs.join(maybe_broadcast(verdict.select("_id"), few), of, "left_anti")
+    again = docs.join(maybe_broadcast(verdict.where("stays").select("_id"), few), of, "left_semi")
+    row = F.struct((word_count(text_or_empty()) == 0).alias("empty"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = again.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(row)["row"].alias("row"))
+    return once.unionByName(first.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -170,6 +170,14 @@ def test_near_duplicates(docs, texts, empty, width, percent):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in sets if find(i) == i}
 
 
+def test_keep_first_of_repeated_rows(spark):
+    """One row of a kept doc_id, though it is repeated and stands for its group; rows without an id all."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (2, a + " end", "x"), (3, b, "x"), (3, b, "x"), (3, None, "a"), (4, c, "x"), (5, None, "x"), (5, None, "x"), (6, a, "x"), (6, "", "x"), (None, b, "x"), (None, b, "x")]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a, "w"), (3, b, "x"), (4, c, "x"), (5, None, "x"), (None, b, "x"), (None, b, "x")], key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long"), Workspace(spark, "t"), "c").collect()}
