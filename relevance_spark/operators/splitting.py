@@ -62,3 +62,22 @@ def cyclic_pairs(rows: DataFrame) -> DataFrame:
     every = Window.partitionBy("label").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = F.coalesce(F.first("id").over(ahead), F.first("id").over(every))
     return rows.withColumn("pair", nxt).where("pair <> id")
+
+
+def evidence_components(rows: DataFrame) -> DataFrame:
+    """(id, fingerprint, positives) to (id, component): the smallest id that shared fingerprints or positive documents lead to.
+
+    ``id`` is a long, ``positives`` an array of strings. Every piece of evidence links its rows with the smallest id
+    among them, and labels are passed on until nothing changes.
+    """
+    # Only this operator needs that subpackage, which may be absent.
+    from relevance_spark.llm.components import components
+    from relevance_spark.llm.shared import Workspace
+
+    ws = Workspace(rows.sparkSession, "evidence")
+    keys = F.concat(F.array(F.concat(F.lit("text:"), "fingerprint")), F.transform(F.coalesce("positives", F.array().cast("array<string>")), lambda p: F.concat(F.lit("doc:"), p)))
+    keyed = ws.save(rows.select("id", F.explode(keys).alias("key")).where("key IS NOT NULL").distinct(), "keys")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    links = keyed.join(shared, "key").select("a", F.col("id").alias("b"))
+    found = components(links, ws, "found")
+    return rows.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -146,14 +146,16 @@ def train_pairs(spark, d):
 
 @register("SELECT vec_id AS id, (vec_id - vec_id % 7)::BIGINT AS component FROM embeddings")
 def evidence_components(spark, d):
-    """Rows that share evidence, as chains of seven: the smallest id of each component by repeated joins."""
-    v = vectors(spark, d).select("id")
-    links = v.where("id % 7 <> 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = v.withColumn("component", F.col("id"))
-    for _ in range(3):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        low = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        roots = low.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = low.join(roots, "component").select("id", F.col("root").alias("component"))
-    return labels
+    """Invented evidence, as chains of seven: each row's positives are itself and the row before it in its chain."""
+    ids = vectors(spark, d).select("id")
+    before = F.when(F.col("id") % 7 != 0, (F.col("id") - 1).cast("string"))
+    return splitting.evidence_components(ids.select("id", F.col("id").cast("string").alias("fingerprint"), F.array_compact(F.array(F.col("id").cast("string"), before)).alias("positives")))
+
+
+@register(f"""WITH RECURSIVE r AS (SELECT doc_id AS id, {FP} AS fp, md5(text) AS m FROM documents), k AS (SELECT id, 'text:' || fp AS k FROM r UNION SELECT a.id, 'doc:' || b.m FROM r a JOIN r b ON b.id = a.id + 1),
+e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (k)), c AS (SELECT id AS a, id AS b FROM r UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS id, min(b) AS component FROM c GROUP BY a""")
+def evidence_components_documents(spark, d):
+    """All documents as examples whose positive is the text of the document with the next id."""
+    docs = documents(spark, d)
+    nxt = docs.select((F.col("id") - 1).alias("id"), F.array(F.md5("text")).alias("positives"))
+    return splitting.evidence_components(docs.select("id", token_digest(F.col("text")).alias("fingerprint")).join(nxt, "id", "left"))

@@ -127,6 +127,14 @@ def test_split_ignores_order(spark):
     assert sorted(a.collect()) == sorted(b.collect()) and a.where("in_dev").count() == 2
 
 
+def test_evidence_components(spark):
+    """A chain of forty rows through positives, two rows of one text, rows without positives or text."""
+    rows = [(i, f"t{i}", [f"p{i}", f"p{i + 1}"]) for i in range(10, 50)] + [(7, "t49", None), (3, "t30", []), (1, "p10", ["q"]), (2, None, None), (4, None, ["q", None])]
+    df = spark.createDataFrame(rows, "id long, fingerprint string, positives array<string>")
+    got = {r.id: r.component for r in splitting.evidence_components(df).collect()}
+    assert got == dict.fromkeys([3, 7, *range(10, 50)], 3) | {1: 1, 4: 1, 2: 2}
+
+
 def test_corpus_changes(spark):
     c = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
     with pytest.raises(ValueError):
