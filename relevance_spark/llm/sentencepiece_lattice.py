@@ -7,8 +7,8 @@ piece table, the edges are grouped by segment, and a higher-order aggregate fold
 sum of piece scores, the longest last piece among equals. A character without a piece falls back to its bytes. The
 segments' pieces, as sorted hash arrays in the shared folder, are mapped by workers that write out whole texts.
 
-Segments of more than LONG characters are folded by the same rule in a worker, since the aggregate copies its state
-at every edge. Null and empty texts have no pieces. Decoding joins the pieces; a text that holds the word-start
+The fold keeps the last places in two short arrays and lays finished ones aside, so a step costs the same however long
+the segment is. Null and empty texts have no pieces. Decoding joins the pieces; a text that holds the word-start
 character itself comes back with spaces in its place, and ``restored`` is then false.
 """
 
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from relevance_spark.llm import arrays, blocks, files
 from relevance_spark.llm.arrays import U
 from relevance_spark.llm.bpe import START, model_path
-from relevance_spark.llm.shared import Workspace, text_or_empty
+from relevance_spark.llm.shared import Workspace, let, text_or_empty
 
-#: Characters of the longest segment that the aggregate folds.
-LONG = 128
+#: Places of a segment that are folded, and cut out of it, together; no piece may be longer.
+SPAN = 64
 #: How much less than the lowest score a character without a piece counts.
 UNKNOWN = 10.0
 
@@ -65,7 +65,6 @@ def pieces_of(path: str) -> dict:
     plain = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
     return {
         "rows": plain,
-        "by_text": {p: (i, s) for p, i, s in plain},
         "byte0": sp.piece_to_id("<0x00>"),
         "pairs": _joined_pairs([p for p, *_ in plain]),
         "longest": max(len(p) for p, *_ in plain),
@@ -74,28 +73,6 @@ def pieces_of(path: str) -> dict:
     }
 
 
-def best_path(segment: str, table: dict) -> list[int]:
-    """The same fold over one segment, in a worker."""
-    n, longest, by_text = len(segment), table["longest"], table["by_text"]
-    best, back = [0.0] + [float("-inf")] * n, [(0, [])] * (n + 1)
-    for end in range(1, n + 1):
-        for start in range(max(0, end - longest), end):
-            hit = by_text.get(segment[start:end])
-            if hit is None and end - start == 1:
-                ids, score = [table["byte0"] + b for b in segment[start:end].encode()], table["unknown"]
-            elif hit is None:
-                continue
-            else:
-                ids, score = [hit[0]], hit[1]
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, (start, ids)
-    out, at = [], n
-    while at:
-        at, ids = back[at]
-        out.append(ids)
-    return [i for ids in reversed(out) for i in ids]
-
-
 def cut_pattern(table: dict) -> str:
     """Where a marked text is cut: before word starts, and between a letter and a character that no piece joins to one."""
     written = lambda codes: "".join(f"\\x{{{c:x}}}" for c in codes)
@@ -127,59 +104,95 @@ def segments(text: Column, table: dict) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(marked, cut_pattern(table), -1))
 
 
-#: Words of one task of the lattice, about; their edges are grouped in memory.
+#: Segments of one task of the lattice, about.
 TASK_WORDS = 12_000
-#: An edge in one number: end, start and piece. The last piece number stands for the bytes of one character.
-_START, _END, _BYTES = 1 << 24, 1 << 32, (1 << 24) - 1
+#: An edge in one number: end, what its length lacks of LACK, and piece. Numbers from UNKNOWN_CHAR on are characters
+#: without a piece, by code point. In order of this number edges go by end, the longest first.
+_LENGTH, _END, _UNKNOWN_CHAR, LACK = 1 << 24, 1 << 32, 1 << 23, 255
 
 
 def lattice(words: DataFrame, table: dict) -> DataFrame:
-    """``word`` to one row per edge: word, edge, score, start, end. Every place has a single-character edge.
+    """``word``, ``k1`` and ``k2`` to one row per edge: k1, k2, word, edge, score, start, end.
 
-    Two explodes of number sequences, by end and then by start, stay in generated code, and bring the edges of a word
-    out in the order that the fold needs.
+    The keys stand for the segment, which only its first edge carries, so that a long one isn't copied to every row.
+    Explodes of number sequences stay in generated code; substrings are taken from spans of bounded length. Every
+    place has a single-character edge.
     """
     pieces = words.sparkSession.createDataFrame(table["rows"], "piece string, id int, score double")
-    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
-    spans = ends.select("word", "end", F.explode(F.sequence(F.greatest(F.lit(0), F.col("end") - table["longest"]), F.col("end") - 1)).alias("start"))
-    spans = spans.select("word", "end", "start", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")).alias("part"))
+    longest = table["longest"]
+    if longest > SPAN:
+        raise ValueError("a piece is longer than a span")
+    spans = words.select("k1", "k2", "word", F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / SPAN).cast("int"))).alias("s"))
+    first = F.greatest(F.lit(0), F.col("s") * SPAN + 1 - longest)
+    spans = spans.select("k1", "k2", F.when(F.col("s") == 0, F.col("word")).alias("word"), first.alias("first"), F.substring("word", first + 1, F.col("s") * SPAN + SPAN - first).alias("span"), (F.col("s") * SPAN).alias("base"))
+    ends = spans.select("*", F.explode(F.sequence(F.col("base") + 1, F.col("first") + F.length("span"))).alias("end"))
+    edges = ends.select("k1", "k2", F.when(F.col("end") == 1, F.col("word")).alias("word"), "first", "span", "end", F.explode(F.sequence(F.greatest(F.lit(0), F.col("end") - longest), F.col("end") - 1)).alias("start"))
+    edges = edges.select("k1", "k2", "word", "end", "start", F.substring("span", F.col("start") - F.col("first") + 1, F.col("end") - F.col("start")).alias("part"))
     # The piece table has as many rows as the vocabulary, whatever the input.
-    joined = spans.join(F.broadcast(pieces), spans.part == pieces.piece, "left").where("id IS NOT NULL OR start = end - 1")
-    edge = F.col("end").cast("long") * _END + F.col("start").cast("long") * _START + F.coalesce(F.col("id"), F.lit(_BYTES))
-    return joined.select("word", edge.alias("edge"), F.coalesce("score", F.lit(table["unknown"])).alias("score"), "start", "end")
+    joined = edges.join(F.broadcast(pieces), edges.part == pieces.piece, "left").where("id IS NOT NULL OR start = end - 1")
+    lack = (F.lit(LACK) - F.col("end") + F.col("start")).cast("long")
+    edge = F.col("end").cast("long") * _END + lack * _LENGTH + F.coalesce(F.col("id"), F.ascii("part") + _UNKNOWN_CHAR)
+    return joined.select("k1", "k2", "word", edge.alias("edge"), F.coalesce("score", F.lit(table["unknown"])).alias("score"), "start", "end")
 
 
 def viterbi(edges: Column) -> Column:
-    """Edges of the best path over an array of (edge, score, start, end)."""
-    begin = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).cast("long").alias("way"), F.lit(0).alias("start")))
+    """Edges of the best path over an array of (edge, score, start, end).
+
+    The state holds the places from ``base`` on, SPAN of them at most, the SPAN places before these, and all earlier
+    ones as arrays laid aside; a place is its best sum and the edge that leads there. Edges come in order of their end,
+    so each either adds a place or betters the last one.
+    """
+    place = lambda best, way: F.struct(best.alias("best"), way.alias("way"))
+    state = lambda base, here, last, done: F.struct(base.alias("base"), here.alias("here"), last.alias("last"), done.alias("done"))
+    none = F.array().cast("array<struct<best:double,way:bigint>>")
+    begin = state(F.lit(0), F.array(place(F.lit(0.0), F.lit(0).cast("long"))), none, F.array().cast("array<array<struct<best:double,way:bigint>>>"))
 
     def step(acc: Column, e: Column) -> Column:
-        # acc[p]: the best way to place p, its last edge and where that starts. Edges come in order of their end, so
-        # each either adds a place or betters the last one.
-        score = acc[e["start"]]["best"] + e["score"]
-        place = F.array(F.struct(score.alias("best"), e["edge"].alias("way"), e["start"].alias("start")))
-        better = F.concat(F.slice(acc, F.lit(1), e["end"]), place)
-        return F.when(F.size(acc) <= e["end"], F.concat(acc, place)).when(score > acc[e["end"]]["best"], better).otherwise(acc)
+        back = e["start"] - acc["base"]
+        before = F.when(back >= 0, acc["here"][back]["best"]).otherwise(acc["last"][back + SPAN]["best"])
+
+        def placed(new: Column) -> Column:
+            at, one = e["end"] - acc["base"], F.array(new)
+            added = F.when(at == SPAN, state(acc["base"] + SPAN, one, acc["here"], F.concat(acc["done"], F.array(acc["here"]))))
+            added = added.when(at == F.size(acc["here"]), state(acc["base"], F.concat(acc["here"], one), acc["last"], acc["done"]))
+            return added.when(new["best"] > acc["here"][at]["best"], state(acc["base"], F.concat(F.slice(acc["here"], F.lit(1), at), one), acc["last"], acc["done"])).otherwise(acc)
+
+        return let(place(before + e["score"], e["edge"]), placed)
 
     def trace(acc: Column) -> Column:
-        def back(path: Column, p: Column) -> Column:
-            taken = F.struct(acc[p]["start"].alias("at"), F.concat(F.array(acc[p]["way"]), path["edges"]).alias("edges"))
-            return F.when(path["at"] == p, taken).otherwise(path)
+        """Back along the best edges, span by span."""
+        last = acc["base"] + F.size(acc["here"]) - 1
 
-        start = F.struct((F.size(acc) - 1).alias("at"), F.array().cast("array<bigint>").alias("edges"))
-        return F.aggregate(F.sequence(F.size(acc) - 1, F.lit(1), F.lit(-1)), start, back)["edges"]
+        def through(spans: Column) -> Column:
+            def over(path: Column, k: Column) -> Column:
+                def back(own: Column, p: Column) -> Column:
+                    way = spans[k][p]["way"]
+                    length = F.lit(LACK) - (F.shiftright(way, 24) % 256).cast("int")
+                    return F.when(own["at"] == k * SPAN + p, F.struct((own["at"] - length).alias("at"), F.concat(F.array(way), own["edges"]).alias("edges"))).otherwise(own)
+
+                start = F.struct(path["at"].alias("at"), F.array().cast("array<bigint>").alias("edges"))
+                # Place 0 has no edge: what leads there ends the path.
+                own = F.aggregate(F.sequence(F.size(spans[k]) - 1, F.lit(0), F.lit(-1)), start, lambda o, p: F.when(k * SPAN + p == 0, o).otherwise(back(o, p)))
+                return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(F.array(o["edges"]), path["parts"]).alias("parts")))
+
+            none = F.struct(last.alias("at"), F.array().cast("array<array<bigint>>").alias("parts"))
+            return F.flatten(F.aggregate(F.sequence(F.size(spans) - 1, F.lit(0), F.lit(-1)), none, over)["parts"])
+
+        return let(F.concat(acc["done"], F.array(acc["here"])), through)
 
     return F.aggregate(F.sort_array(edges), begin, step, trace)
 
 
 def ids_of_path(edges: Column, byte0: int) -> Column:
-    """Piece numbers along a path; a character without a piece gives those of its bytes."""
+    """Piece numbers along a path; a character without a piece gives those of its bytes in UTF-8."""
 
     def of(e: Column) -> Column:
-        start, end = (F.shiftright(e, 24) % 256).cast("int"), F.shiftright(e, 32).cast("int")
-        part = F.hex(F.encode(F.substring(F.col("word"), start + 1, end - start), "UTF-8"))
-        as_bytes = F.transform(F.sequence(F.lit(1), (F.length(part) / 2).cast("int")), lambda b: F.conv(F.substring(part, 2 * b - 1, F.lit(2)), 16, 10).cast("int") + byte0)
-        return F.when(e % _START == _BYTES, as_bytes).otherwise(F.array((e % _START).cast("int")))
+        number = (e % _LENGTH).cast("int")
+        c = number - _UNKNOWN_CHAR
+        tail = lambda shift: (F.shiftright(c, shift) % 64) + (128 + byte0)
+        coded = F.when(c < 0x80, F.array(c + byte0)).when(c < 0x800, F.array(F.shiftright(c, 6) + (0xC0 + byte0), tail(0)))
+        coded = coded.when(c < 0x10000, F.array(F.shiftright(c, 12) + (0xE0 + byte0), tail(6), tail(0))).otherwise(F.array(F.shiftright(c, 18) + (0xF0 + byte0), tail(12), tail(6), tail(0)))
+        return F.when(number < _UNKNOWN_CHAR, F.array(number)).otherwise(coded)
 
     return F.flatten(F.transform(edges, of))
 
@@ -189,17 +202,11 @@ def encoded_segments(docs: DataFrame, path: str, ws: Workspace) -> DataFrame:
     table = pieces_of(path)
     words = ws.save(docs.select(F.explode(F.array_distinct(segments(text_or_empty(), table))).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "words")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
-    # Dealt out by word, its edges never leave the task that makes them.
-    short = lattice(words.where(F.length("word") <= LONG).repartition(parts, "word"), table).groupBy("word").agg(F.collect_list(F.struct("edge", "score", "start", "end")).alias("edges"))
-    short = short.select("word", ids_of_path(viterbi(F.col("edges")), table["byte0"]).alias("ids"))
-
-    def fold(batches):
-        own = pieces_of(path)
-        for batch in batches:
-            out = [best_path(w, own) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return short.union(words.where(F.length("word") > LONG).mapInArrow(fold, "word string, ids array<int>"))
+    # Dealt out by key, a segment's edges never leave the task that makes them; in order of the key, the aggregate's
+    # sort, to which it goes over after its first groups and which may spill, finds its rows sorted.
+    keyed = words.select(F.xxhash64("word").alias("k1"), F.xxhash64("word", F.lit(1)).alias("k2"), "word").repartition(parts, "k1").sortWithinPartitions("k1", "k2")
+    grouped = lattice(keyed, table).groupBy("k1", "k2").agg(F.max("word").alias("word"), F.collect_list(F.struct("edge", "score", "start", "end")).alias("edges"))
+    return grouped.select("word", ids_of_path(viterbi(F.col("edges")), table["byte0"]).alias("ids"))
 
 
 def hash_segments(texts: list[bytes], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,14 +276,7 @@ def build_dictionary(docs: DataFrame, path: str, ws: Workspace) -> dict:
     """Encode all distinct segments and leave them as arrays in the shared folder."""
     n, uri = blocks.n_blocks(docs, 40_000_000), f"{ws.uri}/segments"
     encoded = encoded_segments(docs, path, ws).mapInArrow(_bucketed(n), "bucket long, word string, ids array<int>")
-    # A task groups the edges of some thousand words in memory instead of sorting them all.
-    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = conf.get(name)
-    conf.set(name, str(4 * TASK_WORDS))
-    try:
-        words = encoded.groupBy("bucket").applyInArrow(_store(uri, n), "bucket long, words long").agg(F.sum("words")).first()[0]
-    finally:
-        conf.set(name, before)
+    words = encoded.groupBy("bucket").applyInArrow(_store(uri, n), "bucket long, words long").agg(F.sum("words")).first()[0]
     ws.drop("words")
     return {"uri": uri, "n": n, "words": words or 0}
 
@@ -334,7 +334,7 @@ def _encoder(path: str, dictionary: dict, with_ids: bool):
         return pa.RecordBatch.from_arrays(out, ["doc_id", "n_pieces", "ids_sha256", "restored"] + ["ids"] * with_ids)
 
     def run(batches):
-        for batch in arrays.pieces(batches, 2_000_000):
+        for batch in arrays.pieces(batches, 1_000_000):
             yield encode(batch)
 
     return run

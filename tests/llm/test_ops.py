@@ -207,17 +207,76 @@ def test_token_counts(docs, texts, empty):
     assert bpe.token_counts(empty).count() == 0
 
 
+def best_pieces(segment, table):
+    """Piece numbers of the largest sum; of equal sums the longest last piece, then the longest before it."""
+    if "by_text" not in table:
+        table["by_text"] = {p: (i, x) for p, i, x in table["rows"]}
+    pieces, best = table["by_text"], [(0.0, ())]
+    for end in range(1, len(segment) + 1):
+        ways = []
+        for n in range(1, min(end, table["longest"]) + 1):
+            part = segment[end - n : end]
+            if part in pieces:
+                ways.append((best[end - n][0] + pieces[part][1], n, (pieces[part][0],)))
+            elif n == 1:
+                ways.append((best[end - 1][0] + table["unknown"], 1, tuple(table["byte0"] + x for x in part.encode())))
+        score, n, ids = max(ways)
+        best.append((score, (end - n, ids)))
+    out, at = [], len(segment)
+    while at:
+        at, ids = best[at][1]
+        out[:0] = ids
+    return out
+
+
+def encoded(text, table):
+    return [x for w in re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁")) for x in best_pieces(w, table)] if text else []
+
+
 def test_lattice(docs, texts, empty):
     table = sentencepiece_lattice.pieces_of(bpe.model_path())
     got = keyed(sentencepiece_lattice.encode(docs))
     for i, t, _ in texts:
         t = t or ""
-        want = [x for w in re.findall("▁+[^▁]*", "▁" + t.replace(" ", "▁")) for x in sentencepiece_lattice.best_path(w, table)] if t else []
+        want = encoded(t, table)
         assert got[i].ids == want and got[i].restored == ("▁" not in t)
         assert sentencepiece_lattice.decoded(np.array(want, int), bpe.model_path()).decode() == t.replace("▁", " ")
     assert sentencepiece_lattice.encode(empty).count() == 0
 
 
+def test_lattice_of_all_segmentations(spark):
+    """Short words against every way to cut them, with equal sums; and segments around the span, one far beyond it."""
+    table = sentencepiece_lattice.pieces_of(bpe.model_path())
+    pieces = {p: (i, x) for p, i, x in table["rows"]}
+    short = ["a", "aa", "aaaa", "aaaaaa", "the", "there", "tested", "ababab", "xyzzy", "éé", "漢字", "😀a", "\x00", "a\x00b", "....", "11111", "(((", "\n\n", "çèç"]
+
+    def cuts(w):
+        yield from ([[w]] if w else [[]])
+        for n in range(1, len(w)):
+            for rest in cuts(w[n:]):
+                yield [w[:n], *rest]
+
+    def value(path):
+        if any(p not in pieces and len(p) > 1 for p in path):
+            return None
+        return (sum(pieces[p][1] if p in pieces else table["unknown"] for p in path), [len(p) for p in reversed(path)])
+
+    def ids(path):
+        return [x for p in path for x in ([pieces[p][0]] if p in pieces else [table["byte0"] + b for b in p.encode()])]
+
+    rng = np.random.default_rng(3)
+    long = ["q" * n for n in (62, 63, 64, 65, 127, 128, 129, 5000)] + ["".join(rng.choice(list("abqzé😀"), 1500))]
+    df = spark.createDataFrame(list(enumerate(short + long)), "doc_id long, text string")
+    got = keyed(sentencepiece_lattice.encode(df))
+    for i, w in enumerate(short):
+        found = [(v, p) for p in cuts("▁" + w) if (v := value(p))]
+        assert got[i].ids == ids(max(found)[1]), w
+    for i, w in enumerate(long, len(short)):
+        assert got[i].ids == encoded(w, table) and got[i].restored
+    tied = spark.createDataFrame([("k", 0, [((e << 32) + ((255 - e + s) << 24) + n, x, s, e) for e, s, n, x in ((1, 0, 1, -1.0), (2, 1, 2, -1.0), (2, 0, 3, -2.0), (3, 0, 4, -4.0), (3, 1, 5, -2.0), (3, 2, 6, -1.0))])], "w string, k int, edges array<struct<edge:bigint,score:double,start:int,end:int>>")
+    assert tied.select(sentencepiece_lattice.ids_of_path(sentencepiece_lattice.viterbi(F.col("edges")), 0).alias("i")).first().i == [1, 5]
+
+
 def test_fingerprints(spark, docs, texts, empty):
     ws = Workspace(spark, "t")
     one = docs.dropDuplicates(["doc_id"])
@@ -296,7 +355,6 @@ def test_pipeline(spark, data):
     masked = secret_scan.mask_secrets(good.where(F.col("doc_id").isin(sorted(kept))))
     want = Counter()
     for r in mixing.mix(masked).collect():
-        ids = [x for w in re.findall("▁+[^▁]*", "▁" + r.text.replace(" ", "▁")) for x in sentencepiece_lattice.best_path(w, table)]
-        want[r.doc_id, tuple(ids)] += 1
+        want[r.doc_id, tuple(encoded(r.text, table))] += 1
     got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, data).collect())
     assert got == want and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_dedup", "secret_scan", "mix_sources", "sentencepiece"]
