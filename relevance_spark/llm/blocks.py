@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relevance_spark.llm import arrays
+
 #: Characters of text in a block, about.
 BLOCK_CHARS = 6_000_000
 
@@ -26,11 +28,20 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))).repartition(n, "block")
 
 
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Buckets are ranges of the upper 32 bits."""
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
 def by_bucket(h: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(bucket, start, end) of sorted hashes: buckets are ranges of the upper 32 bits."""
-    edges = np.searchsorted(h, np.array([(b << 64) // n for b in range(1, n)], np.uint64))
-    cuts = [0, *edges.tolist(), len(h)]
-    return [(b, cuts[b], cuts[b + 1]) for b in range(n) if cuts[b + 1] > cuts[b]]
+    """(bucket, start, end) of sorted hashes, for buckets that have any: as many rows and steps as hashes, at most."""
+    return in_runs(bucket_of(h, n))
+
+
+def in_runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted buckets."""
+    start, size = arrays.runs(bucket)
+    return list(zip(bucket[start].tolist(), start.tolist(), (start + size).tolist(), strict=True))
 
 
 def rows(names: list[str], types: list[pa.DataType], values: list[tuple]) -> pa.Table:

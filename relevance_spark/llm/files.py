@@ -33,14 +33,16 @@ def write_array(uri: str, name: str, values: np.ndarray) -> None:
 
 
 def map_array(uri: str, name: str, dtype) -> np.ndarray:
-    """The array under uri/name, mapped, not read; kept by the worker process. A missing file is an empty array."""
+    """The array under uri/name, mapped, not read; kept by the worker process. A missing file raises."""
     key = (uri, name)
     if key not in _mapped:
         if len(_mapped) > 4096:
             _mapped.clear()
         store, root = _place(uri)
         info = store.get_file_info(f"{root}/{name}")
-        if not info.is_file or not info.size:
+        if not info.is_file:
+            raise FileNotFoundError(f"{uri}/{name}")
+        if not info.size:
             return np.empty(0, dtype)
         path = f"{root}/{name}"
         if store.type_name != "local":

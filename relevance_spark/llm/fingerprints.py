@@ -14,9 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relevance_spark.llm import blocks
 from relevance_spark.llm.shared import Workspace, maybe_broadcast, text_or_empty
 
 
+#: Rows of one bucket that are compared with its first row in one place.
+PART = 256
+#: Characters of text in a range of rows, about.
+RANGE_CHARS = 32_000_000
+
+
 def canonical(text: str) -> bytes:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
@@ -50,16 +57,20 @@ def equal_groups(docs: DataFrame, prints: DataFrame, ws: Workspace) -> DataFrame
     """(doc_id, fingerprint) of docs to (doc_id, fingerprint, group_id): the smallest doc_id with the same bytes.
 
     Only fingerprints that occur twice are looked at. Each such row's bytes are compared with those of the bucket's
-    first row; rows that differ from it, should a digest ever collide, form groups of their own by their bytes.
+    first row; rows that differ from it, should a digest ever collide, form groups of their own by their bytes. The rows
+    of a large bucket are dealt into parts of about PART, to each of which a copy of the first row goes.
     """
     buckets = ws.save(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = ws.save(prints.join(maybe_broadcast(buckets, buckets.count()), "fingerprint").select("doc_id", "fingerprint", "first").dropDuplicates(["doc_id", "fingerprint"]), "shared")
     few = shared.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    sizes = shared.groupBy("fingerprint").agg(F.ceil(F.count("*") / F.lit(PART)).cast("long").alias("parts"))
     members = texts.join(maybe_broadcast(shared, few), "doc_id").mapInArrow(_canonical_rows, "doc_id long, fingerprint string, bytes binary")
+    members = members.join(maybe_broadcast(sizes, few), "fingerprint").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
     heads = texts.join(maybe_broadcast(shared.where("doc_id = first"), buckets.count()), "doc_id").select("doc_id", "fingerprint", "text").mapInArrow(_canonical_rows, "doc_id long, fingerprint string, bytes binary")
     heads = heads.groupBy("fingerprint").agg(F.min("bytes").alias("head"), F.min("doc_id").alias("first"))
-    same = members.join(heads, "fingerprint").select("doc_id", "fingerprint", "first", (F.col("bytes") == F.col("head")).alias("equal"), F.sha2("bytes", 256).alias("sha"))
+    heads = heads.join(maybe_broadcast(sizes, few), "fingerprint").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    same = members.join(heads, ["fingerprint", "part"]).select("doc_id", "fingerprint", "first", (F.col("bytes") == F.col("head")).alias("equal"), F.sha2("bytes", 256).alias("sha"))
     odd = same.where(~F.col("equal")).groupBy("fingerprint", "sha").agg(F.min("doc_id").alias("own"))
     found = same.join(odd, ["fingerprint", "sha"], "left").select("doc_id", "fingerprint", F.when(F.col("equal"), F.col("first")).otherwise(F.col("own")).alias("group_id"))
     return found.groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
@@ -120,7 +131,7 @@ def compared(docs: DataFrame, ws: Workspace) -> DataFrame:
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.n_blocks(texts, RANGE_CHARS))
     ranged = texts.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
     made = ws.save(ranged.mapInArrow(_paired, _SCHEMA), "paired")
     ends = made.where("kind <> 1").select("kind", "part", "doc_id", "fingerprint", "text")

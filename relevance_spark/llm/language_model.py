@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney bigram model, counted over all training texts.
 
-Blocks of documents count their distinct word pairs; pairs meet in buckets that are ranges of the first word's hash,
-so that a bucket knows all that follows a word. A second exchange adds up, for each word, its count and how many
-different words precede it. The model is one set of sorted hash arrays per bucket in the shared folder; workers map
-them and look up the sorted distinct pairs of a batch. What is counted grows with the corpus; only the totals and the
-three discounts come to the driver.
+Blocks of documents count their distinct word pairs; pairs meet in buckets that are ranges of the first word's hash. The
+pairs of a first word so frequent that it would fill a bucket (the begin of a text, an article) are dealt over several by
+their second word; which words these are is read off a sample, and decides nothing but where pairs meet. A second
+exchange adds up, for each word, its count, what follows it and how many different words precede it. The model is one set
+of sorted hash arrays per bucket in the shared folder; workers map them and look up the sorted distinct pairs of a
+batch. What is counted grows with the corpus; only the totals, the discounts, a bit per bucket and file, and at most
+MOST_HOT frequent words come to the driver.
 
 p(w | v) = (c(vw) - D(c)) / c(v) + g(v) p(w),  p(w) = (m(w) - D'(m)) / M + g' / (V + 1)
 
@@ -24,6 +26,8 @@ from relevance_spark.llm import arrays, blocks, files
 from relevance_spark.llm.arrays import U
 from relevance_spark.llm.shared import Workspace
 
+#: A first word with more than this share of a bucket's pairs is dealt over several; at most so many words are.
+HOT, MOST_HOT = 0.5, 4096
 BEGIN, END = U(0x1B873593CC9E2D51), U(0x2545F4914F6CDD1D)
 #: Hash ranges of the model; each has a few arrays.
 _LOW48 = U((1 << 48) - 1)
@@ -114,12 +118,43 @@ def _gathered(batches):
         yield out
 
 
-def _count(n: int):
+def frequent_first_words(texts: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of first words with more than HOT of a bucket's share of pairs, and how many buckets each is dealt over.
+
+    From a sample of about one block. Counts only steer where pairs meet.
+    """
+
+    def seen(batches):
+        for batch in arrays.pieces(batches, 2_000_000):
+            h, c = np.unique(tokens(arrays.encode_texts(batch.column("text")))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
+
+    counts = texts.sample(1.0 / n, seed=5).select(F.col("text").cast("string")).mapInArrow(seen, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    share = F.col("c") / F.col("total")
+    found = counts.join(F.broadcast(counts.agg(F.sum("c").alias("total")))).where(share * n > HOT).orderBy(F.col("c").desc(), "h").limit(MOST_HOT).select("h", F.least(F.lit(n), F.ceil(2 * share * n)).cast("long").alias("parts")).collect()
+    out = np.empty(len(found), [("h", U), ("parts", np.int64)])
+    out["h"], out["parts"] = np.array([r.h for r in found], np.int64).view(U), [r.parts for r in found]
+    return np.sort(out, order="h")
+
+
+def pair_buckets(a: np.ndarray, b: np.ndarray, n: int, hot: np.ndarray) -> np.ndarray:
+    """Where a pair is counted: the range of its first word, or one of several after it for a frequent one."""
+    out = blocks.bucket_of(a, n)
+    if len(hot) and len(a):
+        at = np.minimum(np.searchsorted(hot["h"], a), len(hot) - 1)
+        parts = np.where(hot["h"][at] == a, hot["parts"][at], 1)
+        out = (out + (arrays.mix(b & _LOW48) >> U(33)).astype(np.int64) % parts) % n
+    return out
+
+
+def _count(n: int, hot: np.ndarray):
     def run(batches):
         for texts in _gathered(batches):
             prev, tok, _ = tokens(texts)
             pairs = distinct_pairs(prev, tok)
-            out = [(b, pack(pairs[i:j])) for b, i, j in blocks.by_bucket(pairs["a"], n)]
+            bucket = pair_buckets(pairs["a"], pairs["b"], n, hot)
+            order = np.argsort(bucket, kind="stable")
+            out = [(b, pack(pairs[order[i:j]])) for b, i, j in blocks.in_runs(bucket[order])]
             # Tokens as such, for their full hashes and counts.
             h, c = np.unique(tok, return_counts=True)
             words = np.empty(len(h), [("h", U), ("c", np.int64)])
@@ -158,7 +193,9 @@ def _reduce(n: int, uri: str):
         stats["h"] = pairs["a"][start]
         for name, x in (("out", pairs["n"]), ("f1", pairs["n"] == 1), ("f2", pairs["n"] == 2), ("f3", pairs["n"] > 2)):
             stats[name] = np.add.reduceat(x.astype(np.int64), start) if len(start) else 0
-        out = [(bucket, "context", stats.tobytes(), *[int((pairs["n"] == i).sum()) for i in (1, 2, 3, 4)])]
+        out = [(bucket, "pairs", b"", *[int((pairs["n"] == i).sum()) for i in (1, 2, 3, 4)])]
+        # What follows a frequent word is known in parts, which meet in the range of its hash.
+        out += [(b, "context", stats[i:j].tobytes(), 0, 0, 0, 0) for b, i, j in blocks.by_bucket(stats["h"], n)]
         # Different predecessors of each follower within this bucket; 48 bits of a hash order as the bits do, so a range
         # of the lower bits deals them out.
         h, m = np.unique(pairs["b"], return_counts=True)
@@ -193,7 +230,7 @@ def _store(uri: str):
     """Token counts and what follows each word, as files."""
 
     def run(key, table):
-        bucket, n = key[0].as_py(), [0, 0]
+        bucket, n, follow = key[0].as_py(), [0, 0], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
             if kind == "tokens":
                 x = np.frombuffer(data, [("h", U), ("c", np.int64)])
@@ -201,8 +238,16 @@ def _store(uri: str):
                 files.write_array(uri, f"tokens-{bucket:05d}", x["c"])
                 n = [int(x["c"].sum()), len(x)]
             else:
-                files.write_array(uri, f"context-{bucket:05d}", np.frombuffer(data, STATS)["h"])
-                files.write_array(uri, f"stats-{bucket:05d}", np.frombuffer(data, STATS))
+                follow.append(np.frombuffer(data, STATS))
+        if follow:
+            every = np.concatenate(follow)
+            h, inverse = np.unique(every["h"], return_inverse=True)
+            stats = np.zeros(len(h), STATS)
+            stats["h"] = h
+            for name in ("out", "f1", "f2", "f3"):
+                np.add.at(stats[name], inverse, every[name])
+            files.write_array(uri, f"context-{bucket:05d}", h)
+            files.write_array(uri, f"stats-{bucket:05d}", stats)
         return pa.table({"tokens": [n[0]], "words": [n[1]], "m": [0], "n1": [0], "n2": [0], "n3": [0], "n4": [0]})
 
     return run
@@ -217,27 +262,38 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.01), k - 0.01) for k, d in enumerate(out, 1))
 
 
+def _present(rows: DataFrame, kind: str, n: int) -> np.ndarray:
+    """Which of n buckets have rows of a kind: a bit each."""
+    words = rows.where(F.col("kind") == kind).select(F.floor(F.col("bucket") / 32).alias("w"), F.expr("shiftleft(1L, cast(bucket % 32 as int))").alias("bit"))
+    out = np.zeros(n, bool)
+    for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
+        out[[32 * r.w + k for k in range(32) if r.bits >> k & 1]] = True
+    return out
+
+
 def train(texts: DataFrame, ws: Workspace) -> dict:
     """Count a table with a column ``text``; the returned model is a few numbers and the folder of its files."""
     n, uri = blocks.n_blocks(texts), f"{ws.uri}/model"
-    counted = texts.select(F.col("text").cast("string")).mapInArrow(_count(n), "bucket long, data binary")
+    hot = frequent_first_words(texts, n)
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(_count(n, hot), "bucket long, data binary")
     first = ws.save(counted.groupBy("bucket").applyInArrow(_reduce(n, uri), "bucket long, kind string, data binary, n1 long, n2 long, n3 long, n4 long"), "reduced")
     shape = "tokens long, words long, m long, n1 long, n2 long, n3 long, n4 long"
     high = first.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in (1, 2, 3, 4)]).first()
     low = first.where("kind = 'before'").select("bucket", "data").groupBy("bucket").applyInArrow(_low_order(uri), shape)
     low = low.agg(F.coalesce(F.sum("m"), F.lit(0)), *[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in (1, 2, 3, 4)]).first()
-    totals = first.where("kind <> 'before'").select("bucket", "kind", "data").groupBy("bucket").applyInArrow(_store(uri), shape)
+    totals = first.where("kind IN ('tokens', 'context')").select("bucket", "kind", "data").groupBy("bucket").applyInArrow(_store(uri), shape)
     totals = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    has = {name: _present(first, kind, n) for name, kind in (("pair", "pairs"), ("context", "context"), ("word", "tokens"), ("low", "before"))}
     ws.drop("reduced")
-    return {"uri": uri, "n": n, "tokens": totals[0], "words": totals[1], "before": low[0], "high": discounts(*high), "low": discounts(*low[1:]), "low_n": tuple(low[1:])}
+    return {"hot": hot, "has": has, "uri": uri, "n": n, "tokens": totals[0], "words": totals[1], "before": low[0], "high": discounts(*high), "low": discounts(*low[1:]), "low_n": tuple(low[1:])}
 
 
 def _lookup(model: dict, name: str, value: str, dtype, h: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Values of sorted distinct hashes in the files of their ranges; 0 where a hash is absent."""
     out = np.zeros(len(h), dtype)
     for b, i, j in blocks.by_bucket(by, model["n"]):
-        keys = files.map_array(model["uri"], f"{name}-{b:05d}", U)
-        if len(keys):
+        if model["has"][name][b]:
+            keys = files.map_array(model["uri"], f"{name}-{b:05d}", U)
             at = np.searchsorted(keys, h[i:j])
             at[at == len(keys)] = 0
             hit = keys[at] == h[i:j]
@@ -261,28 +317,19 @@ def log_probabilities(model: dict, prev: np.ndarray, tok: np.ndarray) -> tuple[n
     p_low = np.maximum(m - d[np.minimum(m, 3).astype(int)], 0) / total + rest * even
     # Contexts, then pairs, each distinct one once and in order of its hash.
     v, iv = np.unique(prev, return_inverse=True)
-    stats = np.zeros(len(v), STATS)
-    for b, i, j in blocks.by_bucket(v, model["n"]):
-        keys = files.map_array(model["uri"], f"context-{b:05d}", U)
-        if len(keys):
-            at = np.searchsorted(keys, v[i:j])
-            at[at == len(keys)] = 0
-            hit = keys[at] == v[i:j]
-            stats[i:j][hit] = files.map_array(model["uri"], f"stats-{b:05d}", STATS)[at[hit]]
+    stats = _lookup(model, "context", "stats", STATS, v, v)
     key, ik = np.unique((iv.astype(U) << U(32)) | iw.astype(U), return_inverse=True)
     pv, pw = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
     c = np.zeros(len(key))
-    for b, i, j in blocks.by_bucket(v[pv], model["n"]):
-        keys = files.map_array(model["uri"], f"pair-{b:05d}", U)
-        if len(keys):
-            q = _key(v[pv[i:j]], w[pw[i:j]])
-            order = np.argsort(q)
-            at = np.searchsorted(keys, q[order])
+    q, bucket = _key(v[pv], w[pw]), pair_buckets(v[pv], w[pw], model["n"], model["hot"])
+    order = np.lexsort((q, bucket))
+    for b, i, j in blocks.in_runs(bucket[order]):
+        if model["has"]["pair"][b]:
+            keys, mine = files.map_array(model["uri"], f"pair-{b:05d}", U), order[i:j]
+            at = np.searchsorted(keys, q[mine])
             at[at == len(keys)] = 0
-            hit = keys[at] == q[order]
-            part = np.zeros(j - i)
-            part[order[hit]] = files.map_array(model["uri"], f"count-{b:05d}", np.uint32)[at[hit]]
-            c[i:j] = part
+            hit = keys[at] == q[mine]
+            c[mine[hit]] = files.map_array(model["uri"], f"count-{b:05d}", np.uint32)[at[hit]]
     d = np.array([0.0, *model["high"]])
     s = stats[pv]
     out = np.maximum(s["out"], 1)

@@ -1,19 +1,27 @@
 """Near-duplicate documents by bottom-k sketches of their shingle sets.
 
 1. Each text becomes its set of hashed word shingles; equal sets are one class, whose smallest doc_id stands for it.
-2. The k smallest hashes of a set are its sketch. Runs of three consecutive retained values key inverted lists; two
-   sets at or above the threshold share such a run but for a chance below 1e-6 (and surely where the sketch is whole).
-   Lists with the same members are looked at once; long lists are split into pairs of blocks, so none is cut short.
+2. The k smallest hashes of a set, from one hash function, are its sketch. Retained values key inverted lists, the
+   rarest first: with sketches that share at least o of their values, the rarest ``values - o + 1`` of each hold a
+   common one, so the other, frequent values need no list. For sets whose union fits the sketch o is exact; else it is
+   what k values of the union share but for a chance of MISS. Lists with the same members are looked at once.
 3. Within a list the similarity of sketches of the union is estimated; links of a spanning forest of what passes a
-   much lower limit make candidate groups.
+   limit five standard deviations lower make candidate groups.
 4. Full sets meet once per candidate group, and exact Jaccard similarity decides every link there.
 
+Lists and groups are never capped. A large one is looked at in blocks; then its components' representatives meet, and
+what is still apart from the largest component meets all others, so a group of copies costs one pass over its members.
+
 Rows with a null doc_id, and texts without words, are linked with nothing: a null id keeps a null component and is
 kept; an empty text is its own component. Rows that repeat a doc_id are the same document.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,14 +32,35 @@ from relevance_spark.llm.arrays import U
 from relevance_spark.llm.components import components
 from relevance_spark.llm.shared import Workspace, maybe_broadcast, text_or_empty, word_count
 
-#: Retained values; how many of them make runs; values in a run.
-KEEP, RUN_OVER, RUN = 64, 40, 3
-#: How far below the threshold an estimate may lie: more than five standard deviations of KEEP values.
-SLACK = 0.25
-#: Members of a list or candidate group that meet in one task at most (twice as many in a pair of blocks).
+#: Retained values, and the chance that so few of them are shared that a link is not looked at.
+KEEP, MISS = 64, 1e-7
+#: Members of a list or candidate group that meet in one task at most (twice as many where two blocks meet).
 BLOCK = 1024
 
 
+def estimate_limit(percent: int) -> float:
+    """Five standard deviations of KEEP values below the threshold."""
+    t = percent / 100
+    return max(0.0, t - 5 * math.sqrt(t * (1 - t) / KEEP))
+
+
+@cache
+def surely_shared(percent: int) -> int:
+    """The largest number that KEEP values of a union share, at the threshold, but for a chance of MISS."""
+    t, below = percent / 100, 0.0
+    for o in range(KEEP + 1):
+        below += math.comb(KEEP, o) * t**o * (1 - t) ** (KEEP - o)
+        if below > MISS:
+            return max(1, o)
+    return KEEP
+
+
+def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many retained values a set of each size shares with any similar one: all that are common where sketches are whole."""
+    common = -(-size * percent // 100)
+    return np.maximum(1, np.where(100 * size <= KEEP * percent, common, np.minimum(common, surely_shared(percent))))
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the word shingles of each text; a text with fewer words is one shingle, without words none."""
     h, at = arrays.hash_words(texts, fold=True)
@@ -62,18 +91,29 @@ def _sketcher(width: int):
     return run
 
 
-def run_keys(sketch: bytes, whole: bool) -> np.ndarray:
-    """Hashes of the runs of RUN consecutive values; a whole set of fewer values has one key."""
-    v = np.frombuffer(sketch, np.uint32)[:RUN_OVER].astype(U)
-    return arrays.window_hashes(arrays.mix(v + U(1)), RUN) if len(v) >= RUN else arrays.window_hashes(arrays.mix(v + U(1)), len(v))
+def _postings(percent: int):
+    """A row per retained value, with the number of values that are surely shared."""
 
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(np.frombuffer(x, np.uint32)) for x in batch.column("sketch").to_pylist()]
+            n = [len(x) for x in found]
+            need = least_shared(batch.column("n_shingles").to_numpy(), percent).astype(np.int32)
+            values = np.concatenate(found) if found else np.empty(0, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int32)), pa.array(np.repeat(batch.column("rep").to_numpy(), n), pa.int64()), pa.array(np.repeat(need, n))], ["value", "rep", "need"])
 
-def _keys(batches):
-    for batch in batches:
-        found = [run_keys(s, True) for s in batch.column("sketch").to_pylist()]
-        ids = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in found])
-        keys = np.concatenate(found) if found else np.empty(0, U)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids, pa.int64())], ["key", "rep"])
+    return run
+
+
+def _rare_postings(classes: DataFrame, percent: int) -> DataFrame:
+    """(value, rep): of each sketch the rarest values, one more than may be missing in a similar one.
+
+    Values that one class alone holds come first in that order and are in no list.
+    """
+    postings = classes.select("rep", "n_shingles", "sketch").mapInArrow(_postings(percent), "value int, rep long, need int")
+    often = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    held = postings.join(often, "value").groupBy("rep", "need").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    return held.select("rep", F.explode(F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - F.col("need") + 1))).alias("p")).select("p.value", "rep")
 
 
 def estimated(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -145,7 +185,9 @@ def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return centre[out], ids[out]
 
 
-def _candidates(limit: float):
+def _candidates(percent: int):
+    limit = estimate_limit(percent)
+
     def of_group(table: pa.Table):
         ids = table.column("rep").to_numpy()
         n = len(ids)
@@ -156,7 +198,7 @@ def _candidates(limit: float):
         sizes = table.column("n_shingles").to_numpy()
 
         def near(i, rest):
-            fit = np.minimum(sizes[rest], sizes[i]) >= (limit + SLACK) * np.maximum(sizes[rest], sizes[i]) - 1e-9
+            fit = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
             out = np.zeros(len(rest), bool)
             if fit.any():
                 out[fit] = estimated(m[i], m[rest[fit]]) >= limit
@@ -211,17 +253,47 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _in_blocks(df: DataFrame, group: str, size: str) -> DataFrame:
-    """unit: a group, or for a large one a pair of its blocks; each member goes to every pair of its block."""
-    n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("long")
-    blocked = df.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_n")))
-    others = blocked.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    unit = F.when(F.col("_n") == 1, F.xxhash64(group)).otherwise(F.xxhash64(F.col(group), F.least("_b", "_o"), F.greatest("_b", "_o")))
-    return others.withColumn("unit", unit).drop("_n", "_b", "_o")
+def links_within(members: DataFrame, meet, ws: Workspace, name: str) -> DataFrame:
+    """Edges (a, b) that hold together what is linked within each group of members (g, n, rep); n counts the group.
+
+    meet(units) looks at rows (unit, rep) of one unit together. Groups of more than BLOCK members meet in blocks; then
+    one member of each component of a group; last, what is not in its largest component and all others, block by
+    block. Members of one component need not meet, so nothing is lost.
+    """
+    small = F.col("n") <= BLOCK
+    block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(n / F.lit(BLOCK)).cast("long"))
+    units = members.select(F.when(small, F.xxhash64("g")).otherwise(F.xxhash64("g", block(F.col("n"), 7))).alias("unit"), "rep")
+    edges = ws.save(meet(units), f"{name}_blocks")
+    large = members.where(~small)
+    if large.isEmpty():
+        return edges
+
+    def labelled(edges: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
+        """Members of large groups with their component c; and, for groups that have several, the largest."""
+        found = components(edges, ws, f"{name}_{step}")
+        rows = ws.save(large.join(found, large.rep == found.node, "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("c")), f"{name}_{step}_rows")
+        parts = rows.groupBy("g", "n", "c").agg(F.count("*").alias("k"), F.min("rep").alias("rep"))
+        return rows, ws.save(parts.withColumn("parts", F.lit(1)).groupBy("g", "n").agg(F.sum("parts").alias("parts"), F.max(F.struct("k", "c"))["c"].alias("major"), F.sum("k").alias("all"), F.max("k").alias("most")).where("parts > 1"), f"{name}_{step}_parts")
+
+    rows, several = labelled(edges, "first")
+    heads = rows.join(several.select("g", "parts"), "g").groupBy("g", "parts", "c").agg(F.min("rep").alias("rep"))
+    edges = edges.union(ws.save(meet(heads.select(F.xxhash64("g", F.lit(1), block(F.col("parts"), 8)).alias("unit"), "rep")), f"{name}_heads"))
+    rows, several = labelled(edges, "second")
+    if several.isEmpty():
+        return edges
+    tied = rows.join(several.select("g", "major", (F.col("all") - F.col("most")).alias("apart")), "g").withColumn("n_apart", F.ceil(F.col("apart") / F.lit(BLOCK)).cast("long")).withColumn("n_all", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n))
+    apart = tied.where("c <> major").select("g", "rep", mine("n_apart", 9).alias("i"), every("n_all").alias("j"))
+    others = tied.select("g", "rep", every("n_apart").alias("i"), mine("n_all", 10).alias("j"))
+    return edges.union(ws.save(meet(apart.union(others).select(F.xxhash64("g", "i", "j").alias("unit"), "rep").distinct()), f"{name}_rest"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ws: Workspace | None = None) -> DataFrame:
-    """(doc_id, text, ...) to (doc_id, n_shingles, component_id, kept), one row per row of docs."""
+    """(doc_id, text, ...) to (doc_id, n_shingles, component_id, kept), one row per row of docs.
+
+    A link at or above the threshold is looked at but for a chance of about MISS.
+    """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -230,20 +302,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ws: Work
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
     # Classes of one doc_id (rows that repeat it with other texts) are one node.
-    keys = classes.select("rep", "sketch").mapInArrow(_keys, "key long, rep long")
-    lists = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2")).where("n > 1")
-    lists = lists.groupBy("n", "s", "s2").agg(F.min("key").alias("key")).select("key", "n")
-    members = keys.join(lists, "key").select("key", "n", "rep")
-    limit = max(0.0, percent / 100 - SLACK)
-    units = _in_blocks(members, "key", "n").join(classes.select("rep", "n_shingles", "sketch"), "rep").select("unit", "rep", "n_shingles", "sketch")
-    links = ws.save(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_candidates(limit), "a long, b long").distinct(), "candidates")
-    groups = components(links, ws, "groups")
-    sized = ws.save(groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("node").alias("rep"), "component", "n"), "sized")
-    few = sized.count()
-    # One text for each representative, and that of the class: another text of the same doc_id is looked at as well.
-    wanted = texts.join(maybe_broadcast(sized, few), texts.doc_id == sized.rep).select("rep", "component", "n", "text").dropDuplicates(["rep", "text"])
-    checks = _in_blocks(wanted, "component", "n").select("unit", "rep", "text").repartition("unit").sortWithinPartitions("unit")
-    links = checks.mapInArrow(_verifier(width, percent), "a long, b long")
+    keys = ws.save(_rare_postings(classes, percent), "keys")
+    lists = keys.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2")).where("n > 1")
+    lists = lists.groupBy("n", "s", "s2").agg(F.min("value").alias("value")).select("value", "n")
+    members = ws.save(keys.join(lists, "value").select(F.col("value").cast("long").alias("g"), "n", "rep"), "members")
+
+    def look(units: DataFrame) -> DataFrame:
+        sketched = units.join(classes.select("rep", "n_shingles", "sketch"), "rep").select("unit", "rep", "n_shingles", "sketch")
+        return sketched.repartition("unit").sortWithinPartitions("unit").mapInArrow(_candidates(percent), "a long, b long").distinct()
+
+    groups = components(links_within(members, look, ws, "lists"), ws, "groups")
+    sized = ws.save(groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("component").alias("g"), "n", F.col("node").alias("rep")), "sized")
+
+    def verify(units: DataFrame) -> DataFrame:
+        # One text for each representative, and that of the class: another text of the same doc_id is looked at as well.
+        units = ws.save(units, f"units_{next(step)}")
+        wanted = texts.join(maybe_broadcast(units, units.count()), texts.doc_id == units.rep).select("unit", "rep", "text").dropDuplicates(["unit", "rep", "text"])
+        return wanted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verifier(width, percent), "a long, b long").distinct()
+
+    step = count()
+    links = links_within(sized, verify, ws, "exact")
     # Rows of one doc_id in several classes tie these together, as do equal sets of several doc_ids.
     same = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
     ties = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")

@@ -5,19 +5,25 @@ code points. The battery looks at runs of 20 or more characters of the usual enc
 capitals; pure numbers are not looked at. '=' is padding at the end and ends a run elsewhere, so that name=VALUE leaves
 VALUE. What a run holds of one alphabet is looked at as a whole, from its first part that is no plain word or number
 (after a path or an identifier), and between joints ('+', '/', '_', '-'); of discoveries inside one another the longest
-counts. For each, the encoding with the smallest alphabet that fits is inferred, and
+counts. For each, the encoding with the smallest alphabet that fits is inferred, and three tests are looked at from both
+sides:
 
-* chi-squared of the alphabet's uniformity, the number of runs above and below the middle of the alphabet, and the
-  serial correlation of neighbours must not reject uniform randomness together (chi-squared of three, BATTERY);
-* the likelihood ratio of uniform characters to those of prose is an e-value against "this is prose". The words of a
-  text, and the candidates inside another one, are its hypotheses; e-values are compared as in Benjamini-Hochberg (the k-th largest with words / (ALPHA k)),
-  which controls false discoveries however they depend, asks more in longer texts and less of longer tokens.
+* against uniform randomness: chi-squared of the alphabet's uniformity, the number of runs above and below the middle of
+  the alphabet, and the serial correlation of neighbours must not reject together (chi-squared of three, BATTERY);
+* against ordinary text (shares and habits in ORDINARY): that so many characters are no small letters, that the kind of
+  character changes so often, and that small letters follow one another so little. Tail bounds give three p-values that
+  fall with the length of the token; Fisher's method combines them.
+
+The combined p-values are controlled as Benjamini and Yekutieli do, so however tokens depend: the words of the text, and
+the candidates inside another one, are its hypotheses. So a longer text asks for more, and a longer token gives it.
 
 Null and empty texts hold no secrets. Spans of the battery that touch one of a pattern are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +49,9 @@ ALPHABETS = [
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
-#: Share of the characters of prose, and characters, of each class.
-PROSE = [("[a-z]", 0.93, 26), ("[A-Z]", 0.04, 26), ("[0-9]", 0.02, 10), ("[^A-Za-z0-9]", 0.01, 5)]
+#: Of ordinary text, at most: share of characters that are no small letters, of neighbours of different kinds; at least:
+#: correlation of neighbours as to being a small letter. Capitals and figures come at the ends of words.
+ORDINARY = {"other": 0.07, "changes": 0.15, "serial": 0.5}
 #: Level of the false-discovery control, and the 0.999 quantile of chi-squared with three degrees of freedom.
 ALPHA, BATTERY = 0.001, 16.27
 MASK = "[SECRET]"
@@ -60,7 +67,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
             start = acc["at"] + F.length(x["between"][i])
             end = start + F.length(x["match"][i])
             span = F.struct(start.alias("start"), F.lit(_order(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["match"][i].alias("match"))
-            return F.struct(F.when(F.length(x["part"][i]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), end.alias("at"))
+            return F.struct(F.when(F.length(x["part"][i]) >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"), end.alias("at"))
 
         none = F.array().cast(_SPANS)
         return F.when(F.size(x["match"]) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["match"]) - 1), F.struct(none.alias("spans"), F.lit(0).alias("at")), step)["spans"])
@@ -76,16 +83,48 @@ def _order(kind: str) -> int:
     return _KINDS.index(kind)
 
 
-def prose_bits(token: Column, size: Column) -> Column:
-    """log2 of the likelihood ratio of uniform characters of the alphabet to characters of prose."""
-    import math
+def excess_bits(k: Column, n: Column, share: float) -> Column:
+    """-log2 of a bound on the chance that k or more of n are so when each is with at most this share (Chernoff)."""
+    rest = n - k
+    inside = k * F.log2(F.greatest(k, F.lit(1.0)) / (n * share)) + rest * F.log2(F.greatest(rest, F.lit(1.0)) / (n * (1 - share)))
+    return F.when(k > n * share, inside).otherwise(F.lit(0.0))
+
+
+def serial(v: Column, n: Column) -> Column:
+    """Correlation of neighbours; null where all are equal."""
+    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / n
+    spread = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+    lagged = F.aggregate(F.sequence(F.lit(1), F.size(v) - 1), F.lit(0.0), lambda acc, i: acc + (v[i] - mean) * (v[i - 1] - mean))
+    return F.when(spread > 0, lagged / spread)
+
+
+def ordinary_bits(token: Column) -> Column:
+    """-log2 of the combined p-value of three tests against ordinary text."""
+    kinds = F.transform(F.slice(F.split(token, ""), F.lit(1), F.length(token)), lambda c: F.when(c.rlike("[a-z]"), 0.0).when(c.rlike("[A-Z]"), 1.0).when(c.rlike("[0-9]"), 2.0).otherwise(3.0))
+
+    def of(k: Column) -> Column:
+        n = F.size(k).cast("double")
+        steps = F.sequence(F.lit(1), F.size(k) - 1)
+        small = F.transform(k, lambda x: F.when(x == 0, 1.0).otherwise(0.0))
+        other = excess_bits(F.size(F.filter(k, lambda x: x != 0)).cast("double"), n, ORDINARY["other"])
+        changes = excess_bits(F.size(F.filter(steps, lambda i: k[i] != k[i - 1])).cast("double"), n - 1.0, ORDINARY["changes"])
 
-    prose = sum((F.regexp_count(token, F.lit(c)) * F.lit(math.log2(p / n)) for c, p, n in PROSE), F.lit(0.0))
-    return -F.length(token) * F.log2(size.cast("double")) - prose
+        def apart(s: Column) -> Column:
+            # Normal tail bound of Fisher's transform.
+            z = (F.atanh(F.lit(ORDINARY["serial"])) - F.atanh(F.greatest(F.least(s, F.lit(0.999)), F.lit(-0.999)))) * F.sqrt(n - 3.0)
+            return F.when(s.isNotNull() & (z > 0), z * z / (2 * math.log(2)) + 1.0).otherwise(F.lit(0.0))
+
+        def fisher(bits: Column) -> Column:
+            x = bits * math.log(2)
+            return bits - F.log2(1.0 + x + x * x / 2.0)
+
+        return let(other + changes + let(let(small, lambda v: serial(v, n)), apart), fisher)
+
+    return let(kinds, of)
 
 
 def battery(token: Column) -> Column:
-    """Struct of the statistic of three tests and of the bits against prose; null for what no alphabet holds or is a number."""
+    """Struct of the statistic of three tests and of the bits against ordinary text; null for what no alphabet holds or is a number."""
     bare = F.rtrim(token, F.lit("="))
 
     def tested(t: Column, alphabet: str) -> Column:
@@ -106,12 +145,9 @@ def battery(token: Column) -> Column:
             var_runs = F.greatest(mean_runs * (mean_runs - 1) / (n - 1), F.lit(1e-9))
             # All on one side: no runs to count, surely not drawn evenly.
             runs_z = F.when((above == 0) | (below == 0), F.lit(9.0)).otherwise((changes - mean_runs) / F.sqrt(var_runs))
-            mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / n
-            spread = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-            lagged = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + (v[i] - mean) * (v[i - 1] - mean))
-            serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(9.0))
+            correlated = F.coalesce(serial(v, n) * F.sqrt(n), F.lit(9.0))
             upper = F.greatest(chi, F.lit(0.0))
-            return F.struct((upper * upper + runs_z * runs_z + serial * serial).alias("stat"), prose_bits(t, F.lit(size)).alias("bits"))
+            return F.struct((upper * upper + runs_z * runs_z + correlated * correlated).alias("stat"), ordinary_bits(t).alias("bits"))
 
         return let(values, of)
 
@@ -141,7 +177,7 @@ def _parts(run: Column) -> Column:
 def _random_spans(text: Column, words: Column, known: Column) -> Column:
     """Spans of tokens that are random and not prose, beside the known ones."""
     parts = F.flatten(F.transform(_spans(text, "random", RUN, 0, LEAST), _parts))
-    candidates = F.filter(parts, lambda s: s["match"].rlike("[0-9]|[A-Za-z].*[A-Z]") & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    candidates = F.filter(parts, lambda s: s["match"].rlike("[0-9]|[a-z].*[A-Z]") & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
     return let(candidates, lambda c: _discoveries(c, words + F.size(F.filter(c, lambda x: F.exists(c, lambda y: _inside(x, y))))))
 
 
@@ -150,9 +186,10 @@ def _discoveries(candidates: Column, hypotheses: Column) -> Column:
     likely = F.filter(scored, lambda x: x["b"].isNotNull() & (x["b"]["stat"] <= BATTERY) & (x["b"]["bits"] > 0))
 
     def controlled(x: Column) -> Column:
-        # The largest k whose k-th largest e-value is at least words / (ALPHA k); all from there on are discoveries.
+        # The largest k whose k-th smallest p-value is at most ALPHA k / (m H(m)); all up to it are discoveries.
         bits = F.reverse(F.array_sort(F.transform(x, lambda y: y["b"]["bits"])))
-        bar = F.log2(F.greatest(hypotheses, F.lit(1)).cast("double") / ALPHA)
+        m = F.greatest(hypotheses, F.lit(1)).cast("double")
+        bar = F.log2(m * (F.log(m) + 1.0) / ALPHA)
 
         def kept(b: Column) -> Column:
             k = F.array_max(F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: b[i - 1] + F.log2(i.cast("double")) >= bar))
@@ -179,20 +216,22 @@ def written(spans: Column) -> Column:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by MASK and n_chars counted anew where the text changed."""
 
-    def step(text: Column):
-        def of(acc: Column, s: Column) -> Column:
-            # Spans may overlap; what an earlier one has covered is not written twice.
-            start = F.greatest(s["start"], acc["at"])
-            fresh = s["end"] > acc["at"]
-            piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.when(s["start"] >= acc["at"], F.lit(MASK)).otherwise(F.lit("")))
-            return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
-
-        return of
+    def merged(acc: Column, s: Column) -> Column:
+        # Spans may overlap; what an earlier one has covered is not written twice.
+        fresh = F.struct(F.greatest(s["start"], acc["at"]).alias("start"), s["end"].alias("end"), (s["start"] >= acc["at"]).alias("own"))
+        return F.when(s["end"] > acc["at"], F.struct(F.array_append(acc["parts"], fresh).alias("parts"), s["end"].alias("at"))).otherwise(acc)
 
     found = found_secrets(docs)
     text = F.col("row.text")
-    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step(text), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = found.withColumn("_new", F.when(F.size("spans") > 0, done))
+    none = F.array().cast("array<struct<start:int,end:int,own:boolean>>")
+    parts = F.aggregate("spans", F.struct(none.alias("parts"), F.lit(0).alias("at")), merged)["parts"]
+
+    def written_out(p: Column) -> Column:
+        before = lambda i: F.when(i > 0, p[i - 1]["end"]).otherwise(F.lit(0))
+        pieces = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.concat(F.substring(text, before(i) + 1, p[i]["start"] - before(i)), F.when(p[i]["own"], F.lit(MASK)).otherwise(F.lit(""))))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(p, -1)["end"] + 1, F.length(text)))
+
+    changed = found.withColumn("_new", F.when(F.size("spans") > 0, let(parts, written_out)))
     columns = []
     for c in docs.columns:
         old = F.col(f"row.`{c}`")

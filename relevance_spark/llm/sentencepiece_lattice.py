@@ -73,16 +73,19 @@ def pieces_of(path: str) -> dict:
     }
 
 
+#: Before word starts; a run of these stays together.
+WORD_STARTS = f"(?<!{START})(?={START})"
+
+
 def cut_pattern(table: dict) -> str:
-    """Where a marked text is cut: before word starts, and between a letter and a character that no piece joins to one."""
+    """Where a word is cut: between a letter and a character that no piece joins to one."""
     written = lambda codes: "".join(f"\\x{{{c:x}}}" for c in codes)
     ascii_ = [c for c in range(128) if c != 32 and _KIND[c] == c and c != 97]
     after = written(c for c in ascii_ if not table["pairs"][97, c])
     before = written(c for c in ascii_ if not table["pairs"][c, 97])
-    cuts = [f"(?<!{START})(?={START})"]
-    cuts += [f"(?<=[a-zA-Z])(?=[{after}])"] if after else []
+    cuts = [f"(?<=[a-zA-Z])(?=[{after}])"] if after else []
     cuts += [f"(?<=[{before}])(?=[a-zA-Z])"] if before else []
-    return "|".join(cuts)
+    return "|".join(cuts) or "(?!)"
 
 
 def cuts_between(table: dict) -> np.ndarray:
@@ -98,10 +101,23 @@ def cuts_between(table: dict) -> np.ndarray:
     return out
 
 
-def segments(text: Column, table: dict) -> Column:
-    """Array of the segments of one text."""
+def marked_words(text: Column) -> Column:
+    """Array of the distinct words of one text; those without a mark have a word start of one space before them.
+
+    Where words stand between single spaces, these part them; other texts are marked and cut before word starts.
+    """
+    plain = ~(F.contains(text, F.lit("  ")) | F.contains(text, F.lit(START)) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")))
     marked = F.concat(F.lit(START), F.replace(text, F.lit(" "), F.lit(START)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(marked, cut_pattern(table), -1))
+    found = F.when(plain, F.split(text, " ", -1)).otherwise(F.split(marked, WORD_STARTS, -1))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(found))
+
+
+def distinct_segments(docs: DataFrame, table: dict) -> DataFrame:
+    """``word``: the distinct segments of all texts. Distinct words are looked for first, and only these cut further."""
+    words = docs.select(F.explode(marked_words(text_or_empty())).alias("word")).groupBy("word").agg(F.lit(1).alias("one"))
+    whole = F.when(F.startswith("word", F.lit(START)), F.col("word")).otherwise(F.concat(F.lit(START), "word"))
+    parts = words.select(F.explode(F.split(whole, cut_pattern(table), -1)).alias("word"))
+    return parts.groupBy("word").agg(F.lit(1).alias("one")).select("word")
 
 
 #: Segments of one task of the lattice, about.
@@ -138,47 +154,47 @@ def lattice(words: DataFrame, table: dict) -> DataFrame:
 def viterbi(edges: Column) -> Column:
     """Edges of the best path over an array of (edge, score, start, end).
 
-    The state holds the places from ``base`` on, SPAN of them at most, the SPAN places before these, and all earlier
-    ones as arrays laid aside; a place is its best sum and the edge that leads there. Edges come in order of their end,
-    so each either adds a place or betters the last one.
+    A place is its best sum and the edge that leads there. The state holds the place at ``end``, to which edges are
+    still coming, the places from ``base`` up to it, SPAN of them at most, the SPAN places before these, and all
+    earlier ones as arrays laid aside. Edges come in order of their end, so each betters the place or begins the next.
     """
-    place = lambda best, way: F.struct(best.alias("best"), way.alias("way"))
-    state = lambda base, here, last, done: F.struct(base.alias("base"), here.alias("here"), last.alias("last"), done.alias("done"))
-    none = F.array().cast("array<struct<best:double,way:bigint>>")
-    begin = state(F.lit(0), F.array(place(F.lit(0.0), F.lit(0).cast("long"))), none, F.array().cast("array<array<struct<best:double,way:bigint>>>"))
+    places = "array<struct<best:double,way:bigint>>"
 
-    def step(acc: Column, e: Column) -> Column:
-        back = e["start"] - acc["base"]
-        before = F.when(back >= 0, acc["here"][back]["best"]).otherwise(acc["last"][back + SPAN]["best"])
+    def state(end: Column, best: Column, way: Column, here: Column, far: Column) -> Column:
+        return F.struct(end.alias("end"), best.alias("best"), way.alias("way"), here.alias("here"), far.alias("far"))
 
-        def placed(new: Column) -> Column:
-            at, one = e["end"] - acc["base"], F.array(new)
-            added = F.when(at == SPAN, state(acc["base"] + SPAN, one, acc["here"], F.concat(acc["done"], F.array(acc["here"]))))
-            added = added.when(at == F.size(acc["here"]), state(acc["base"], F.concat(acc["here"], one), acc["last"], acc["done"]))
-            return added.when(new["best"] > acc["here"][at]["best"], state(acc["base"], F.concat(F.slice(acc["here"], F.lit(1), at), one), acc["last"], acc["done"])).otherwise(acc)
+    def behind(base: Column, last: Column, done: Column) -> Column:
+        return F.struct(base.alias("base"), last.alias("last"), done.alias("done"))
 
-        return let(place(before + e["score"], e["edge"]), placed)
+    none = F.array().cast(places)
+    begin = state(F.lit(0), F.lit(0.0), F.lit(-1).cast("long"), none, behind(F.lit(0), none, F.array().cast(f"array<{places}>")))
+    pending = lambda acc: F.struct(acc["best"].alias("best"), acc["way"].alias("way"))
 
-    def trace(acc: Column) -> Column:
-        """Back along the best edges, span by span."""
-        last = acc["base"] + F.size(acc["here"]) - 1
-
-        def through(spans: Column) -> Column:
-            def over(path: Column, k: Column) -> Column:
-                def back(own: Column, p: Column) -> Column:
-                    way = spans[k][p]["way"]
-                    length = F.lit(LACK) - (F.shiftright(way, 24) % 256).cast("int")
-                    return F.when(own["at"] == k * SPAN + p, F.struct((own["at"] - length).alias("at"), F.concat(F.array(way), own["edges"]).alias("edges"))).otherwise(own)
-
-                start = F.struct(path["at"].alias("at"), F.array().cast("array<bigint>").alias("edges"))
-                # Place 0 has no edge: what leads there ends the path.
-                own = F.aggregate(F.sequence(F.size(spans[k]) - 1, F.lit(0), F.lit(-1)), start, lambda o, p: F.when(k * SPAN + p == 0, o).otherwise(back(o, p)))
-                return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(F.array(o["edges"]), path["parts"]).alias("parts")))
-
-            none = F.struct(last.alias("at"), F.array().cast("array<array<bigint>>").alias("parts"))
-            return F.flatten(F.aggregate(F.sequence(F.size(spans) - 1, F.lit(0), F.lit(-1)), none, over)["parts"])
+    def step(acc: Column, e: Column) -> Column:
+        far, back = acc["far"], e["start"] - acc["far"]["base"]
+        before = F.when(e["start"] == acc["end"], acc["best"]).when(back >= 0, acc["here"][back]["best"]).otherwise(far["last"][back + SPAN]["best"])
+        score = before + e["score"]
+        same = F.when(score > acc["best"], state(acc["end"], score, e["edge"], acc["here"], far)).otherwise(acc)
+        more = state(e["end"], score, e["edge"], F.array_append(acc["here"], pending(acc)), far)
+        full = state(e["end"], score, e["edge"], F.array(pending(acc)), behind(far["base"] + SPAN, acc["here"], F.array_append(far["done"], acc["here"])))
+        return F.when(e["end"] == acc["end"], same).when(acc["end"] - far["base"] < SPAN, more).otherwise(full)
+
+    def back_over(path: Column, span: Column) -> Column:
+        """Along the best edges through one span of places, from its last place on."""
+
+        def back(own: Column, p: Column) -> Column:
+            length = F.lit(LACK) - (F.shiftright(p["way"], 24) % 256).cast("int")
+            taken = F.struct((own["at"] - length).alias("at"), F.concat(F.array(p["way"]), own["edges"]).alias("edges"))
+            return F.when(own["at"] == F.shiftright(p["way"], 32), taken).otherwise(own)
+
+        start = F.struct(path["at"].alias("at"), F.array().cast("array<bigint>").alias("edges"))
+        own = F.aggregate(F.reverse(span), start, back)
+        return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(F.array(o["edges"]), path["parts"]).alias("parts")))
 
-        return let(F.concat(acc["done"], F.array(acc["here"])), through)
+    def trace(acc: Column) -> Column:
+        spans = F.array_append(acc["far"]["done"], F.array_append(acc["here"], pending(acc)))
+        whole = F.struct(acc["end"].alias("at"), F.array().cast("array<array<bigint>>").alias("parts"))
+        return F.flatten(F.aggregate(F.reverse(spans), whole, back_over)["parts"])
 
     return F.aggregate(F.sort_array(edges), begin, step, trace)
 
@@ -200,7 +216,7 @@ def ids_of_path(edges: Column, byte0: int) -> Column:
 def encoded_segments(docs: DataFrame, path: str, ws: Workspace) -> DataFrame:
     """(word, ids) for every distinct segment of all texts."""
     table = pieces_of(path)
-    words = ws.save(docs.select(F.explode(F.array_distinct(segments(text_or_empty(), table))).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "words")
+    words = ws.save(distinct_segments(docs, table), "words")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
     # Dealt out by key, a segment's edges never leave the task that makes them; in order of the key, the aggregate's
     # sort, to which it goes over after its first groups and which may spill, finds its rows sorted.
@@ -266,7 +282,7 @@ def _bucketed(n: int):
         for batch in batches:
             words = [plain_spaces(w.encode()) for w in batch.column("word").to_pylist()]
             h = arrays.span_hashes(*_spans(words)) if words else np.empty(0, U)
-            bucket = ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
+            bucket = blocks.bucket_of(h, n)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("word"), batch.column("ids")], ["bucket", "word", "ids"])
 
     return run
@@ -284,7 +300,7 @@ def build_dictionary(docs: DataFrame, path: str, ws: Workspace) -> dict:
 def ids_of(h: np.ndarray, dictionary: dict) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all segments one after the other, and how many each has."""
     w, inverse = np.unique(h, return_inverse=True)
-    bucket = ((w >> U(32)) * U(dictionary["n"]) >> U(32)).astype(np.int64)
+    bucket = blocks.bucket_of(w, dictionary["n"])
     flats, lengths, starts, base = [], np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), 0
     for b in np.unique(bucket):
         i, j = np.searchsorted(bucket, [b, b + 1])

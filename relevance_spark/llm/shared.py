@@ -1,11 +1,13 @@
 """Places and tables that every executor can reach.
 
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; when the session has none (tests on one machine), a
-folder of its own is set once. Nothing here writes to a machine-local folder on a cluster.
+Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; when a local session has none (tests on one machine), a
+folder of its own is set once. A session on a cluster without that setting is refused: nothing here writes to a
+machine-local folder there.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get("root")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _own["root"] = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     return root.rstrip("/")
 
@@ -28,11 +32,18 @@ _own: dict[str, str] = {}
 
 
 class Workspace:
-    """A folder for the intermediate tables and files of one query."""
+    """A folder for the intermediate tables and files of one query; deleted when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        store, path = self._place(self.uri)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+    def _place(self, uri: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return the table that reads it back."""
@@ -42,10 +53,9 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name in names:
-            path = hadoop(f"{self.uri}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            store, path = self._place(f"{self.uri}/{name}")
+            store.delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
