@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +57,17 @@ def usage(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def _folded(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else unicodedata.normalize("NFKC", x).casefold() for x in texts], dtype=object)
+
+
+def folded(text: Column) -> Column:
+    """NFKC and case folding. Plain ASCII stays with the engine's own lower case; only other texts go to Python."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, F.pandas_udf(_folded, "string")(F.when(other, text))).otherwise(F.lower(text))
+
+
 def token_digest(text: Column) -> Column:
-    """Digest of the sorted multiset of tokens: texts that differ in order, case or punctuation agree."""
-    return F.sha2(F.array_join(F.array_sort(tokens(text)), " "), 256)
+    """Digest of the sorted multiset of folded tokens: texts that differ in order, case, width or punctuation agree."""
+    words = F.regexp_extract_all(F.coalesce(folded(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.sha2(F.array_join(F.array_sort(words), " "), 256)

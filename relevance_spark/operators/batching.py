@@ -22,29 +22,44 @@ def plain_batches(examples: DataFrame, size: int, drop_last: bool = False) -> Da
     return out
 
 
+class Skips(dict):
+    """Places that are taken, each with a later one to look at; paths are shortened as they are walked."""
+
+    def next_free(self, place: int) -> int:
+        walked = []
+        while place in self:
+            walked.append(place)
+            place = self[place]
+        for w in walked:
+            self[w] = place
+        return place
+
+    def take(self, place: int) -> None:
+        self[place] = place + 1
+
+
 def greedy(keys: list[set], size: int, drop_last: bool = False) -> list[tuple[int, int]]:
     """(batch, position) per example: the earliest open batch that holds none of its keys; -1 where dropped.
 
-    For each key the batches that hold it are those before the first one that does not and a few others; remembering,
-    per key, the next batch to look at makes a crowd of one key cost one step each.
+    Each key knows the batches that hold it, and the full ones are known as well, as places to skip; so an example
+    costs a few steps for each of its keys, however many others share them.
     """
-    sizes: list[int] = []
-    held: list[set] = []
-    first_open, hint, out = 0, {}, []
+    full, held, sizes, out = Skips(), {}, [], []
     for k in keys:
-        b = max([first_open, *(hint.get(x, 0) for x in k)])
-        while b < len(sizes) and (sizes[b] >= size or held[b] & k):
-            b += 1
+        skips = [full, *(held.setdefault(x, Skips()) for x in k)]
+        b, before = 0, -1
+        while b != before:
+            before = b
+            for s in skips:
+                b = s.next_free(b)
         if b == len(sizes):
             sizes.append(0)
-            held.append(set())
         out.append((b, sizes[b]))
         sizes[b] += 1
-        held[b] |= k
-        if len(k) == 1:
-            hint[next(iter(k))] = b + 1
-        while first_open < len(sizes) and sizes[first_open] >= size:
-            first_open += 1
+        for s in skips[1:]:
+            s.take(b)
+        if sizes[b] == size:
+            full.take(b)
     if drop_last:
         stop = next((i for i, n in enumerate(sizes) if n < size), len(sizes))
         out = [(b, p) if b < stop else (-1, -1) for b, p in out]

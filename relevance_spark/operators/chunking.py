@@ -3,42 +3,41 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PARAGRAPH = re.compile(r"\n\s*\n")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+# Where paragraphs end, and where sentences do.
+PARAGRAPH, SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?。！？])\s+")
 
 
-def _units(text: str, most: int):
-    """Paragraphs, else sentences, else hard cuts, none longer than most."""
-    for paragraph in filter(None, map(str.strip, _PARAGRAPH.split(text))):
-        parts = [paragraph] if len(paragraph) <= most else filter(None, map(str.strip, _SENTENCE.split(paragraph)))
-        for part in parts:
-            for at in range(0, len(part), most):
-                yield part[at : at + most]
+def cut_down(text: str, most: int) -> list[str]:
+    """Pieces of at most so many characters: each coarser way of cutting is left for a finer one only where it must be."""
+    by_pattern = lambda pattern: lambda piece: [x for x in map(str.strip, pattern.split(piece)) if x]
+    by_force = lambda piece: re.findall(f"(?s).{{1,{most}}}", piece)
+    ways = (by_pattern(PARAGRAPH), by_pattern(SENTENCE), by_force)
+    return reduce(lambda pieces, way: [x for p in pieces for x in (way(p) if len(p) > most else [p])], ways, [text])
 
 
 def chunks(text: str, most: int = 1000, overlap: int = 100) -> list[str]:
     """Chunks of at most so many characters; each begins with the end of the one before, where it fits."""
     if most < 1 or not 0 <= overlap < most:
         raise ValueError("0 <= overlap < most")
-    text = (text or "").strip()
-    if len(text) <= most:
-        return [text] if text else []
-    out, now = [], ""
-    for unit in _units(text, most):
-        if not now:
-            now = unit
-        elif len(now) + 1 + len(unit) <= most:
-            now = f"{now}\n{unit}"
+    pieces = [x for x in cut_down((text or "").strip(), most) if x]
+
+    def packed(done: list[str], piece: str) -> list[str]:
+        # Three ways to go on, the first that fits: in the last chunk, after its end in a new one, alone.
+        last = done[-1]
+        grown, after = f"{last}\n{piece}", f"{last[-overlap:]} {piece}".strip() if overlap else piece
+        if len(grown) <= most:
+            done[-1] = grown
         else:
-            out.append(now)
-            carried = f"{now[-overlap:]} {unit}".strip() if overlap else unit
-            now = carried if len(carried) <= most else unit
-    return out + [now] if now else out
+            done.append(after if len(after) <= most else piece)
+        return done
+
+    return reduce(packed, pieces[1:], pieces[:1])
 
 
 def chunk_documents(docs: DataFrame, most: int = 1000, overlap: int = 100) -> DataFrame:
@@ -46,7 +45,7 @@ def chunk_documents(docs: DataFrame, most: int = 1000, overlap: int = 100) -> Da
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: chunks(x, most, overlap))
+        return pd.Series([chunks(x, most, overlap) for x in texts], dtype=object)
 
     rest = [c for c in docs.columns if c not in ("id", "text")]
     exploded = docs.select(F.col("id").cast("string").alias("parent_id"), F.posexplode(cut("text")).alias("chunk", "text"), *rest)

@@ -16,7 +16,11 @@ def add(corpus: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update(corpus: DataFrame, changed: DataFrame) -> DataFrame:
-    """New texts for known ids; other columns stay."""
+    """New texts for known ids; other columns stay. An unknown or repeated id raises, and nothing changes."""
+    if not changed.join(corpus, "id", "left_anti").isEmpty():
+        raise ValueError("an id is not there")
+    if not changed.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("an id is changed twice")
     renamed = changed.select("id", F.col("text").alias("_new"), F.lit(True).alias("_hit"))
     return corpus.join(renamed, "id", "left").withColumn("text", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("text"))).select(*corpus.columns)
 

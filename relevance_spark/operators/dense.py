@@ -5,6 +5,8 @@ The query side is collected in chunks of a fixed number of vectors; the corpus n
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -92,20 +94,58 @@ def signatures(planes: np.ndarray):
     return run
 
 
+@dataclass
+class ApproximateIndex:
+    """Rows (id, vec, buckets, ...) of a locality-sensitive hash: a row is in one bucket of each table."""
+
+    rows: DataFrame
+    dim: int
+    tables: int = TABLES
+    bits: int = BITS
+    seed: int = 42
+
+    @classmethod
+    def build(cls, corpus: DataFrame, dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 42) -> ApproximateIndex:
+        empty = cls(corpus, dim, tables, bits, seed)
+        return cls(corpus.withColumn("buckets", empty.buckets("vec")), dim, tables, bits, seed)
+
+    def buckets(self, vec: str):
+        return signatures(np.random.default_rng(self.seed).standard_normal((self.tables, self.bits, self.dim)))(vec)
+
+    def save(self, path: str, fingerprint: str) -> None:
+        """Rows and settings; the planes follow from the seed."""
+        from relevance_spark.sources import snapshots
+
+        snapshots.save(self.rows, path, fingerprint, self.dim, {"tables": self.tables, "bits": self.bits, "seed": self.seed}, "lsh")
+
+    @classmethod
+    def load(cls, spark, path: str, fingerprint: str | None = None) -> ApproximateIndex:
+        from relevance_spark.sources import snapshots
+
+        rows, meta = snapshots.load(spark, path, fingerprint)
+        if meta["kind"] != "lsh":
+            raise ValueError("this snapshot holds no approximate index")
+        index = cls(rows, meta["dim"], **meta["extra"])
+        # A row's buckets follow from its vector; a few rows tell whether the planes are those of the writer.
+        if not rows.limit(100).where(F.col("buckets") != index.buckets("vec")).isEmpty():
+            raise ValueError("buckets and vectors do not belong together")
+        return index
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id) that share a bucket."""
+        keyed = queries.select("query_id", F.explode(self.buckets("vec")).alias("bucket"))
+        return keyed.join(self.rows.select("id", F.explode("buckets").alias("bucket")), "bucket").select("query_id", "id").distinct()
+
+    def search(self, queries: DataFrame, k: int, overfetch: int = OVERFETCH, predicate=None) -> DataFrame:
+        """Over-fetches k * overfetch and filters afterwards, so that fewer than k rows may be left, as with any such index."""
+        near = self.candidates(queries).join(self.rows.select("id", "vec"), "id").join(queries.select("query_id", F.col("vec").alias("qv")), "query_id")
+        scored = near.select("query_id", "id", V.dot(V.unit(F.col("qv")), V.unit(F.col("vec"))).alias("score"))
+        hits = top_k(scored, k * overfetch if predicate is not None else k)
+        if predicate is None:
+            return hits
+        kept = hits.drop("rank").join(self.rows.where(predicate).select("id"), "id", "left_semi")
+        return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score()))).where(F.col("rank") <= k)
+
+
 def approximate_search(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 42, overfetch: int = OVERFETCH, predicate=None) -> DataFrame:
-    """Locality-sensitive hashing: every row is in ``tables`` buckets; candidates share one with the query.
-
-    Over-fetches k * overfetch and filters afterwards, so that fewer than k rows may be left, as with any such index.
-    """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-
-    def keyed(df):
-        return df.withColumn("bucket", F.explode(signatures(planes)("vec")))
-
-    pairs = keyed(queries).select("query_id", "bucket", F.col("vec").alias("qv")).join(keyed(corpus).select("id", "bucket"), "bucket").select("query_id", "id").distinct()
-    scored = pairs.join(corpus.select("id", "vec"), "id").join(queries.select("query_id", F.col("vec").alias("qv")), "query_id").select("query_id", "id", V.dot(V.unit(F.col("qv")), V.unit(F.col("vec"))).alias("score"))
-    hits = top_k(scored, k * overfetch if predicate is not None else k)
-    if predicate is None:
-        return hits
-    kept = hits.drop("rank").join(corpus.where(predicate).select("id"), "id", "left_semi")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score()))).where(F.col("rank") <= k)
+    return ApproximateIndex.build(corpus, dim, tables, bits, seed).search(queries, k, overfetch, predicate)

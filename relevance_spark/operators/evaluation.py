@@ -13,39 +13,51 @@ from relevance_spark.operators.ranking import first_occurrences
 METRICS = ("recall", "precision", "hit", "mrr", "ndcg", "map")
 
 
-def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, rank) and (query_id, id, rel) to one row per query with a positive grade; an absent run scores 0."""
+def _at_each(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
+    """query_id and a struct per k, ``m<k>``, of all metrics; every query with a positive grade, an absent run scores 0.
+
+    Ranks, judgements and running hits are worked out once; each k is a set of conditional sums over them.
+    """
     good = qrels.where("rel > 0")
+    gain = lambda rank: F.col("rel") / F.log2(F.col(rank) + 1.0)
     ideal = good.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rel").desc())))
-    ideal = ideal.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("i") <= k, F.col("rel") / F.log2(F.col("i") + 1.0))).alias("idcg"))
-    cut = first_occurrences(run).where(F.col("rank") <= k).join(good, ["query_id", "id"], "left").withColumn("hit1", F.when(F.col("rel").isNotNull(), 1).otherwise(0))
-    cut = cut.withColumn("cum", F.sum("hit1").over(Window.partitionBy("query_id").orderBy("rank")))
-    sums = cut.groupBy("query_id").agg(
-        F.sum("hit1").alias("hits"),
-        F.min(F.when(F.col("hit1") == 1, F.col("rank"))).alias("first"),
-        F.sum(F.coalesce("rel", F.lit(0.0)) / F.log2(F.col("rank") + 1.0)).alias("dcg"),
-        F.sum(F.col("hit1") * F.col("cum") / F.col("rank")).alias("ap"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return ideal.join(sums, "query_id", "left").select(
-        "query_id",
-        zero(F.col("hits") / F.col("n")).alias("recall"),
-        zero(F.col("hits") / F.lit(float(k))).alias("precision"),
-        zero(F.when(F.col("hits") > 0, 1.0)).alias("hit"),
-        zero(1.0 / F.col("first")).alias("mrr"),
-        zero(F.col("dcg") / F.col("idcg")).alias("ndcg"),
-        zero(F.col("ap") / F.col("n")).alias("map"),
-    )
+    ideal = ideal.groupBy("query_id").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("i") <= k, gain("i"))).alias(f"idcg{k}") for k in ks])
+    cut = first_occurrences(run).where(F.col("rank") <= max(ks)).join(good, ["query_id", "id"], "left").withColumn("hit", F.when(F.col("rel").isNotNull(), 1).otherwise(0))
+    cut = cut.withColumn("cum", F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank")))
+    sums = [F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")]
+    for k in ks:
+        top = F.col("rank") <= k
+        sums += [F.sum(F.when(top, F.col("hit"))).alias(f"hits{k}"), F.sum(F.when(top, F.coalesce(gain("rank"), F.lit(0.0)))).alias(f"dcg{k}"), F.sum(F.when(top, F.col("hit") * F.col("cum") / F.col("rank"))).alias(f"ap{k}")]
+    both = ideal.join(cut.groupBy("query_id").agg(*sums), "query_id", "left")
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+
+    def at(k: int):
+        hits = F.col(f"hits{k}")
+        return F.struct(
+            zero(hits / F.col("n"), "recall"),
+            zero(hits / F.lit(float(k)), "precision"),
+            zero(F.when(hits > 0, 1.0), "hit"),
+            zero(F.when(F.col("first") <= k, 1.0 / F.col("first")), "mrr"),
+            zero(F.col(f"dcg{k}") / F.col(f"idcg{k}"), "ndcg"),
+            zero(F.col(f"ap{k}") / F.col("n"), "map"),
+        ).alias(f"m{k}")
+
+    return both.select("query_id", *[at(k) for k in ks])
+
+
+def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, rank) and (query_id, id, rel) to one row per query with a positive grade."""
+    return _at_each(run, qrels, [k]).select("query_id", f"m{k}.*")
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, ks: list[int], metrics=METRICS) -> DataFrame:
     """(metric, k, value): macro averages; 0 without any query that has a positive grade."""
-    out = None
-    for k in sorted(set(ks)):
-        means = per_query(run, qrels, k).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])
-        long = means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(m).alias("value")) for m in metrics])).alias("r")).select("r.*")
-        out = long if out is None else out.unionByName(long)
-    return out
+    ks = sorted(set(ks))
+    if not ks or ks[0] < 1:
+        raise ValueError("cut-offs are positive whole numbers")
+    means = _at_each(run, qrels, ks).agg(*[F.coalesce(F.avg(f"m{k}.{m}"), F.lit(0.0)).alias(f"{m}_{k}") for k in ks for m in metrics])
+    rows = [F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"{m}_{k}").alias("value")) for k in ks for m in metrics]
+    return means.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -102,14 +114,16 @@ def next_up(x: float) -> float:
     return up
 
 
-def bootstrap(groups: DataFrame, samples: int = 2000, seed: int = 42) -> dict:
+def bootstrap(groups: DataFrame, samples: int = 2000, seed: int = 42, block: int = 64) -> dict:
     """Mean difference per group (one row each: n, total) resampled by groups; groups are as few as the study has.
 
-    Draws are counts per group, so a sample costs one dot product; sums are kept in blocks of samples.
+    Samples are drawn a block at a time, so memory holds block times groups numbers.
     """
     rows = groups.orderBy("group").select("n", "total").collect()
     n, total = np.array([r.n for r in rows], float), np.array([r.total for r in rows], float)
-    rng = np.random.default_rng(seed)
-    draws = rng.integers(0, len(rows), (samples, len(rows)))
-    means = total[draws].sum(1) / n[draws].sum(1)
-    return {"mean": float(total.sum() / n.sum()), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975))}
+    rng, means = np.random.default_rng(seed), []
+    for at in range(0, samples, block):
+        draws = rng.integers(0, len(rows), (min(block, samples - at), len(rows)))
+        means.append(total[draws].sum(1) / n[draws].sum(1))
+    low, high = np.quantile(np.concatenate(means), (0.025, 0.975))
+    return {"mean": float(total.sum() / n.sum()), "low": float(low), "high": float(high)}

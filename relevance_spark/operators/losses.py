@@ -14,21 +14,26 @@ def log_sum_exp(z: Column) -> Column:
     return top + F.log(F.aggregate(F.transform(z, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x))
 
 
-def infonce(pairs: DataFrame, temperature: float = 0.05, margin: float | None = None, symmetric: bool = False, negatives: DataFrame | None = None) -> DataFrame:
+def infonce(pairs: DataFrame, temperature: float = 0.05, margin: float | None = None, symmetric: bool = False, negatives: DataFrame | None = None, in_batch: bool = True) -> DataFrame:
     """(batch, item, q, p) of unit vectors to one row: the mean loss. Batches bound the self-join.
 
-    margin drops other positives that lie more than it above the own one. negatives (batch, v) are shared in a batch.
+    margin drops other candidates that lie more than it above the own positive. negatives (batch, item, v) are
+    candidates of their whole batch; without in_batch a query has only its own positive and its own negatives, and
+    symmetric adds nothing.
     """
+    if not temperature > 0:
+        raise ValueError("temperature is positive")
     own = pairs.select("batch", "item", "q", V.dot(F.col("q"), F.col("p")).alias("own"))
-    cands = pairs.select("batch", F.col("item").alias("other"), F.col("p").alias("v"))
+    cands = pairs.select("batch", F.col("item").alias("other"), F.col("item").alias("of"), F.col("p").alias("v"))
     if negatives is not None:
-        cands = cands.unionByName(negatives.select("batch", F.lit(None).cast(dict(pairs.dtypes)["item"]).alias("other"), "v"))
-    sims = own.join(cands, "batch").select("batch", "item", "own", "other", V.dot(F.col("q"), F.col("v")).alias("s"))
+        cands = cands.unionByName(negatives.select("batch", F.lit(None).cast(dict(pairs.dtypes)["item"]).alias("other"), F.col("item").alias("of"), "v"))
+    met = own.join(cands, "batch") if in_batch else own.join(cands.withColumnRenamed("of", "item"), ["batch", "item"])
+    sims = met.select("batch", "item", "own", "other", V.dot(F.col("q"), F.col("v")).alias("s"))
     if margin is not None:
         sims = sims.where(F.col("other").eqNullSafe(F.col("item")) | (F.col("s") <= F.col("own") + margin))
     one = sims.groupBy("batch", "item", "own").agg(F.collect_list(F.col("s") / temperature).alias("z")).select((log_sum_exp(F.array_sort("z")) - F.col("own") / temperature).alias("l"))
     loss = one.agg(F.avg("l").alias("loss"))
-    if not symmetric:
+    if not symmetric or not in_batch:
         return loss
     back = infonce(pairs.select("batch", "item", F.col("p").alias("q"), F.col("q").alias("p")), temperature)
     return loss.withColumnRenamed("loss", "a").join(back).select(((F.col("a") + F.col("loss")) / 2).alias("loss"))

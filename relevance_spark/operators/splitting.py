@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relevance_spark.operators.batching import plain_batches
+from relevance_spark.operators.graph import connected
+
 
 def grouped_split(rows: DataFrame, fraction: float, seed: str = "split") -> DataFrame:
     """(id, label, group) to (group, in_dev): whole groups, near the fraction of each label's rows.
@@ -30,13 +31,15 @@ def grouped_split(rows: DataFrame, fraction: float, seed: str = "split") -> Data
 
 
 def shuffled_split(examples: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Positions of a seeded permutation: the first max(1, round(n * fraction)) are dev. ``ord`` counts from 0."""
+    """The first max(1, round(n * fraction)) examples (halves to even) in the order of a seeded hash of ``ord`` are dev.
+
+    Places in that order come from counts per range, so no task and no driver holds all examples.
+    """
     n = examples.count()
-    order = list(range(n))
-    random.Random(seed).shuffle(order)
-    dev = order[: max(1, round(n * fraction))] if n else []
-    chosen = examples.sparkSession.createDataFrame([(i,) for i in dev], "ord long")
-    return examples.join(chosen.withColumn("in_dev", F.lit(True)), "ord", "left").withColumn("in_dev", F.coalesce("in_dev", F.lit(False)))
+    cut = max(1, round(n * fraction)) if n else 0
+    drawn = examples.withColumn("_ord", F.col("ord")).withColumn("ord", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("ord").cast("string")), 256))
+    placed = plain_batches(drawn, 1)
+    return placed.withColumn("in_dev", F.col("batch") < cut).withColumn("ord", F.col("_ord")).drop("_ord", "batch", "position")
 
 
 def duplicate_audit(rows: DataFrame) -> DataFrame:
@@ -70,14 +73,8 @@ def evidence_components(rows: DataFrame) -> DataFrame:
     ``id`` is a long, ``positives`` an array of strings. Every piece of evidence links its rows with the smallest id
     among them, and labels are passed on until nothing changes.
     """
-    # Only this operator needs that subpackage, which may be absent.
-    from relevance_spark.llm.components import components
-    from relevance_spark.llm.shared import Workspace
-
-    ws = Workspace(rows.sparkSession, "evidence")
     keys = F.concat(F.array(F.concat(F.lit("text:"), "fingerprint")), F.transform(F.coalesce("positives", F.array().cast("array<string>")), lambda p: F.concat(F.lit("doc:"), p)))
-    keyed = ws.save(rows.select("id", F.explode(keys).alias("key")).where("key IS NOT NULL").distinct(), "keys")
+    keyed = rows.select("id", F.explode(keys).alias("key")).where("key IS NOT NULL").distinct()
     shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    links = keyed.join(shared, "key").select("a", F.col("id").alias("b"))
-    found = components(links, ws, "found")
+    found = connected(keyed.join(shared, "key").select("a", F.col("id").alias("b")))
     return rows.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -44,6 +44,14 @@ for _how in RS:
     _route(_how)
 
 
+@register(f"{RS['max']}, {ROUTED} SELECT query_id, CASE WHEN round(score, 9) >= CASE WHEN route % 2 = 0 THEN 0.3 ELSE 0.2 END THEN route END AS route, round(score, 6) AS score FROM best WHERE r = 1")
+def route_thresholds(spark, d):
+    """Even routes have a threshold of their own."""
+    own = spark.range(0, 10, 2).select(F.col("id").cast("int").alias("route"), F.lit(0.3).alias("threshold"))
+    scores = agents.route_scores(searched(spark, d), routes(spark, d).withColumn("route", F.col("route").cast("int")), "max")
+    return agents.choose(scores, 0.2, own).select("query_id", "route", F.round("score", 6).alias("score"))
+
+
 @register(f"{RS['mean']}, {ROUTED} SELECT query_id, route, r::INT AS rank, round(score, 6) AS score FROM best WHERE r <= 3")
 def route_topk(spark, d):
     scores = agents.route_scores(searched(spark, d), routes(spark, d), "mean")

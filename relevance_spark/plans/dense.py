@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from relevance_spark.functions import vectors as V
 from relevance_spark.operators import dense
+from relevance_spark.operators.graph import shared_folder
 from relevance_spark.operators.ranking import reciprocal_rank_fusion, where_metadata
 from relevance_spark.operators.retrieval import Retriever
 from relevance_spark.sources import snapshots
@@ -112,8 +110,7 @@ def encoder_rerank_topk(spark, d):
 
 @register(f"WITH {SIMS}, {ranked('s', 10)} {OUT} FROM rk")
 def snapshot_roundtrip_topk(spark, d):
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    path = f"{root}/snapshot-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark, 'snapshot')}/corpus"
     snapshots.save(vectors(spark, d), path, "fixture", 64)
     corpus, _ = snapshots.load(spark, path, "fixture")
     return out(dense.search(searched(spark, d), corpus, 10))
@@ -127,6 +124,14 @@ def ann_overfetch_postfilter(spark, d):
     return out(dense.approximate_search(searched(spark, d), vectors(spark, d), 10, 64, predicate=KEPT))
 
 
+@register()
+def ann_persisted_topk(spark, d):
+    """The same search over an index that was written and read again."""
+    path = f"{shared_folder(spark, 'ann')}/index"
+    dense.ApproximateIndex.build(vectors(spark, d), 64).save(path, "fixture")
+    return out(dense.ApproximateIndex.load(spark, path, "fixture").search(searched(spark, d), 10, predicate=KEPT))
+
+
 @register()
 def ann_recall_vs_exact(spark, d):
     """Share of the exact top ten that the index finds, for all rows and for those that ann_overfetch_postfilter keeps."""
@@ -140,13 +145,13 @@ def ann_recall_vs_exact(spark, d):
     return recall(v, "recall").join(recall(v.where(KEPT), "filtered_recall", KEPT), "query_id")
 
 
-@register("SELECT count(*)::BIGINT AS n, 0::BIGINT AS apart, 0.0::DOUBLE AS largest FROM embeddings, range(64)")
+@register(f"""WITH {SIMS}, k AS (SELECT query_id, id, list_cosine_similarity(qv, vec) AS b, score AS a FROM (SELECT * FROM s JOIN (SELECT id AS i, vec FROM v) ON i = id JOIN (SELECT query_id AS j, qv FROM q) ON j = query_id)) SELECT count(*)::BIGINT AS n, count(*) FILTER (abs(a - b) > 2e-5 + 2e-4 * abs(b))::BIGINT AS apart, round(max(abs(a - b)), 6) AS largest FROM k""")
 def vector_parity(spark, d):
-    v = vectors(spark, d)
-    a = v.select("id", F.posexplode(V.unit(F.col("vec"))).alias("pos", "a"))
-    b = v.select("id", F.posexplode(V.unit(V.unit(F.col("vec")))).alias("pos", "b"))
-    gap = F.abs(F.col("a") - F.col("b"))
-    return a.join(b, ["id", "pos"]).agg(F.count("*").alias("n"), F.count_if(gap > 2e-5 + 2e-4 * F.abs("b")).alias("apart"), F.round(F.max(gap), 6).alias("largest"))
+    """Cosines by expressions against those of the matrix kernel, which keeps all rows here."""
+    q, v = searched(spark, d), vectors(spark, d)
+    both = dense.scored_pairs(q, v).join(dense.search(q, v, v.count()).select("query_id", "id", F.col("score").alias("b")), ["query_id", "id"], "full")
+    gap = F.abs(F.col("score") - F.col("b"))
+    return both.agg(F.count("*").alias("n"), F.count_if(gap.isNull() | (gap > 2e-5 + 2e-4 * F.abs("b"))).alias("apart"), F.round(F.max(gap), 6).alias("largest"))
 
 
 @register("""WITH t AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT id, p::INT AS pos, round((e[p] + e[16 + p] + e[32 + p]) / 3, 6) AS mean, round(e[32 + p], 6) AS last, round(e[p], 6) AS first

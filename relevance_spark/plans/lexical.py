@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from relevance_spark.functions import text as X
 from relevance_spark.operators import bm25, chunking, corpus, encoders
-from relevance_spark.operators.ranking import reciprocal_rank_fusion, rerank, top_k
-from relevance_spark.operators.retrieval import context
+from relevance_spark.operators.ranking import rerank
+from relevance_spark.operators.retrieval import HybridRetriever, context
 
 QUERIES: dict = {}
 
@@ -105,7 +105,8 @@ def hash_embed(spark, d):
 
 @register()
 def encode_documents(spark, d):
-    return documents(spark, d).select("id", F.size(encoders.HashingEncoder(native_dim=256, characters=None, output_dim=64).vectors(F.col("text"))).alias("dim"))
+    vec = encoders.HashingEncoder(native_dim=256, characters=None, output_dim=64, document_template="passage: {text}").vectors(F.col("text"))
+    return documents(spark, d).select("id", F.array_join(F.transform(vec, lambda x: F.format_number(x, 5)), " ").alias("vec"))
 
 
 @register("SELECT doc_id AS id, CASE WHEN lang IS NULL THEN text ELSE 'Instruct: ' || lang || chr(10) || 'Query: ' || text END AS prompt FROM documents")
@@ -118,13 +119,16 @@ def chunk_documents(spark, d):
     return chunking.chunk_documents(documents(spark, d).select("id", "text"))
 
 
-@register("SELECT doc_id::VARCHAR || '#0' AS id, text FROM documents WHERE length(text) <= 1000 AND regexp_matches(text, '^\\S') AND regexp_matches(text, '\\S$')")
-def chunk_short_documents(spark, d):
-    short = documents(spark, d).select("id", "text").where("length(text) <= 1000 AND text rlike '^\\\\S' AND text rlike '\\\\S$'")
-    return chunking.chunk_documents(short).select("id", "text")
+@register()
+def chunk_digests(spark, d):
+    """Ids of all chunks of all texts, whole, with their sizes and digests."""
+    cut = chunking.chunk_documents(documents(spark, d).select("id", "text"))
+    return cut.select("id", "parent_id", "chunk", F.length("text").alias("size"), F.md5("text").alias("text_md5"))
 
 
-FP = f"sha256(array_to_string(list_sort({TOK}), ' '))"
+# Of the letters in these tables folding differs from lower case in one alone.
+FOLDED = TOK.replace("lower(coalesce(text, ''))", "replace(lower(coalesce(text, '')), 'ß', 'ss')")
+FP = f"sha256(array_to_string(list_sort({FOLDED}), ' '))"
 
 
 @register(f"SELECT fp, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {FP} AS fp FROM documents) GROUP BY fp HAVING count(*) > 1")
@@ -183,14 +187,18 @@ def rerank_head_keep_tail(spark, d):
     return rerank(hits, F.col("size"), depth=8).select("query_id", "id", "rank")
 
 
-@register(f"""WITH {PARTS}, {ranked_sql('sc', 50)}, z AS (SELECT item_id AS query_id, len({TOK}) AS ql FROM benchmark), s2 AS (SELECT query_id, id, -abs(len(w) - ql)::DOUBLE AS score FROM z, d),
-{ranked_sql('s2', 50, 'rd')}, fu AS (SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS score FROM (SELECT query_id, id, rank FROM rk UNION ALL SELECT query_id, id, rank FROM rd) GROUP BY query_id, id), {ranked_sql('fu', 10, 'rf')}
+HYBRID = PARTS.replace("FROM documents)", "FROM documents JOIN embeddings ON doc_id = vec_id)").replace("SELECT item_id AS query_id", "SELECT doc_id AS query_id").replace("FROM benchmark)", "FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 100 = 0)")
+
+
+@register(f"""WITH {HYBRID}, {ranked_sql('sc', 100)}, v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings JOIN documents ON doc_id = vec_id),
+s2 AS (SELECT a.id AS query_id, b.id, list_dot_product(a.vec, b.vec) / (greatest(sqrt(list_dot_product(a.vec, a.vec)), 1e-12) * greatest(sqrt(list_dot_product(b.vec, b.vec)), 1e-12)) AS score FROM v a, v b WHERE a.id % 100 = 0),
+{ranked_sql('s2', 100, 'rd')}, fu AS (SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS score FROM (SELECT query_id, id, rank FROM rk UNION ALL SELECT query_id, id, rank FROM rd) GROUP BY query_id, id), {ranked_sql('fu', 10, 'rf')}
 {RANKED} FROM rf""")
 def hybrid_rrf_topk(spark, d):
-    docs, q = documents(spark, d), items(spark, d)
-    sizes = F.broadcast(q.select("query_id", F.size(X.tokens(F.col("text"))).alias("ql")))  # the benchmark is the fixed query side
-    near = docs.select("id", F.size(X.tokens(F.col("text"))).alias("dl")).join(sizes).select("query_id", "id", (-F.abs(F.col("dl") - F.col("ql"))).cast("double").alias("score"))
-    return out(reciprocal_rank_fusion([bm25.search(bm25.build(docs), q, 50), top_k(near, 50)], 10))
+    """Documents that have a vector, by words and by vectors; those with an id divisible by 100 are asked for."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    both = documents(spark, d).select("id", "text").join(v, "id")
+    return out(HybridRetriever(both).search(both.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 10))
 
 
 @register(f"""WITH {PARTS}, f AS (SELECT sc.*, d.source FROM sc JOIN d USING (id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, id::VARCHAR) AS rank FROM f WHERE score >= 5)
@@ -210,7 +218,8 @@ def corpus_add(spark, d):
 
 @register("SELECT doc_id AS id, coalesce(b.text, d.text) AS text, lang FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id")
 def corpus_update(spark, d):
-    return corpus.update(documents(spark, d).select("id", "text", "lang"), items(spark, d).select(F.col("query_id").alias("id"), "text"))
+    known = documents(spark, d).select("id", "text", "lang")
+    return corpus.update(known, items(spark, d).select(F.col("query_id").alias("id"), "text").join(known.select("id"), "id", "left_semi"))
 
 
 @register("SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")

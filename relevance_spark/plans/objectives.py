@@ -45,6 +45,27 @@ def loss_infonce_margin(spark, d):
     return losses.infonce(pairs(spark, d), margin=0.1).select(F.round("loss", 6).alias("loss"))
 
 
+# Negatives: each fourth row of a batch gives its query vector.
+HARD = f"""c AS (SELECT batch, item AS of, p AS v FROM x UNION ALL SELECT batch, item, q FROM x WHERE item % 4 = 0),
+l AS (SELECT x.item, ln(sum(exp({cosine('q', 'v')} / 0.05))) - any_value({cosine('q', 'p')}) / 0.05 AS l FROM x JOIN c ON c.batch = x.batch AND $on GROUP BY x.item) SELECT round(avg(l), 6) AS loss FROM l"""
+
+
+def negatives(rows):
+    return rows.where("item % 4 = 0").select("batch", "item", F.col("q").alias("v"))
+
+
+@register(f"WITH {P_SQL}, {HARD.replace('$on', 'true')}")
+def loss_infonce_shared_negatives(spark, d):
+    rows = pairs(spark, d)
+    return losses.infonce(rows, negatives=negatives(rows)).select(F.round("loss", 6).alias("loss"))
+
+
+@register(f"WITH {P_SQL}, {HARD.replace('$on', 'c.of = x.item')}")
+def loss_infonce_own_negatives(spark, d):
+    rows = pairs(spark, d)
+    return losses.infonce(rows, negatives=negatives(rows), in_batch=False).select(F.round("loss", 6).alias("loss"))
+
+
 @register(f"WITH {P_SQL} SELECT round(({nce()} + {nce(swap=True)}) / 2, 6) AS loss")
 def loss_infonce_symmetric(spark, d):
     return losses.infonce(pairs(spark, d), symmetric=True).select(F.round("loss", 6).alias("loss"))

@@ -52,6 +52,12 @@ def mine_hard_negatives_labelled(spark, d):
     return mined(spark, d, max_relative_score=None, labelled=True)
 
 
+@register("WITH " + MINE.replace("$skip", "0").replace("$fetch", "13").replace("$more", "round(score, 9) <= round(0.95 * ps, 9)"))
+def mine_hard_negatives_relative(spark, d):
+    """With the limit of 0.95 of the positive's score, as by default."""
+    return mined(spark, d)
+
+
 @register("SELECT text, min(doc_id) AS ord FROM documents GROUP BY text")
 def corpus_dedup_first(spark, d):
     return mining.distinct_first(documents(spark, d).select("text", F.col("id").alias("ord")))
@@ -74,7 +80,7 @@ def batch_plain(spark, d):
 
 def _pairs(spark, d):
     docs = documents(spark, d)
-    return docs.select(F.col("id").alias("ord"), F.substring("text", 1, 12).alias("query"), F.md5("text").alias("positive"), F.col("lang").alias("label"), "source")
+    return docs.select(F.col("id").alias("ord"), F.md5(F.lower("text")).alias("query"), F.md5("text").alias("positive"), F.col("lang").alias("label"), "source")
 
 
 @register()
@@ -106,9 +112,9 @@ def grouped_split(spark, d):
     return splitting.grouped_split(_rows(spark, d), 0.2)
 
 
-@register()
+@register("SELECT ord, row_number() OVER (ORDER BY sha256('42:' || ord)) <= greatest(1, round_even(count(*) OVER () * 0.1, 0)) AS in_dev FROM (SELECT doc_id AS ord FROM documents)")
 def split_examples(spark, d):
-    return splitting.shuffled_split(batching.plain_batches(documents(spark, d).select(F.col("id").alias("ord")), 1).select(F.col("batch").alias("ord")), 0.1)
+    return splitting.shuffled_split(documents(spark, d).select(F.col("id").alias("ord")), 0.1)
 
 
 @register(f"""SELECT fp AS fingerprint, count(*)::BIGINT AS n, count(DISTINCT source)::BIGINT AS splits, count(DISTINCT lang)::BIGINT AS labels, count(DISTINCT source) > 1 AS cross_split, count(DISTINCT lang) > 1 AS conflicting

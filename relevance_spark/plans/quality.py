@@ -135,10 +135,20 @@ def sts_spearman(spark, d):
     return evaluation.spearman(pairs(spark, d), "c", "g").select(F.round("value", 6).alias("value"))
 
 
-@register("""SELECT event_type, count(*)::BIGINT AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) / 10.0, 6) AS per_second FROM events GROUP BY event_type""")
+@register("""SELECT user_id % 10 AS client, count(*)::BIGINT AS n, count(*) FILTER (event_type <> 'error')::BIGINT AS succeeded, count(*) FILTER (event_type = 'error')::BIGINT AS failed, round(quantile_cont(value, 0.5) FILTER (event_type <> 'error'), 6) AS p50,
+round(quantile_cont(value, 0.95) FILTER (event_type <> 'error'), 6) AS p95, round(count(*) FILTER (event_type <> 'error') / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 9) AS per_second FROM events GROUP BY 1""")
 def latency_summary(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
-    return e.select("event_type", "n", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), F.round(F.col("n") / 10.0, 6).alias("per_second"))
+    """Requests by client: what succeeded and failed, quantiles of successes, and successes per second of the time they span."""
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 10).alias("client"), "value", "ts", (F.col("event_type") != "error").alias("ok"))
+    good = F.when(F.col("ok"), F.col("value"))
+    span = (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6
+    by = e.groupBy("client").agg(F.count("*").alias("n"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.percentile(good, F.array(F.lit(0.5), F.lit(0.95))).alias("p"), span.alias("span"))
+    return by.select("client", "n", "succeeded", "failed", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), F.round(F.try_divide(F.col("succeeded").cast("double"), "span"), 9).alias("per_second"))
+
+
+@register("SELECT event_type AS error, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def error_histogram(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("error")).agg(F.count("*").alias("n"))
 
 
 @register("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")

@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -28,7 +29,7 @@ def rows_of(frame):
     cols = sorted(frame.columns)
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return ""
         if isinstance(x, float) or type(x).__name__.startswith("float"):
             return f"{float(x):.5f}"
