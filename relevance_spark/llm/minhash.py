@@ -34,8 +34,9 @@ from relevance_spark.llm.shared import Workspace, maybe_broadcast, text_or_empty
 
 #: Retained values, and the chance that so few of them are shared that a link is not looked at.
 KEEP, MISS = 64, 1e-7
-#: Members of a list or candidate group that meet in one task at most (twice as many where two blocks meet).
-BLOCK = 1024
+#: Members of a list that meet in one place, about, and shingles of candidate texts that do (twice as many where two
+#: blocks meet): some 10 and some 100 MB of a worker's memory.
+LIST_BLOCK, TEXT_BLOCK = 8_192, 2_000_000
 
 
 def estimate_limit(percent: int) -> float:
@@ -254,39 +255,49 @@ def _verifier(width: int, percent: int):
 
 
 def links_within(members: DataFrame, meet, ws: Workspace, name: str) -> DataFrame:
-    """Edges (a, b) that hold together what is linked within each group of members (g, n, rep); n counts the group.
+    """Edges (a, b) that hold together what is linked within each group of members (g, rep, blocks).
 
-    meet(units) looks at rows (unit, rep) of one unit together. Groups of more than BLOCK members meet in blocks; then
-    one member of each component of a group; last, what is not in its largest component and all others, block by
-    block. Members of one component need not meet, so nothing is lost.
+    meet(units) looks at rows (unit, rep) of one unit together. A group that needs several blocks meets in these; then
+    one member of each of its components; last, what is not in its largest component and all others, block by block.
+    Members of one component need not meet, so nothing is lost.
     """
-    small = F.col("n") <= BLOCK
-    block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(n / F.lit(BLOCK)).cast("long"))
-    units = members.select(F.when(small, F.xxhash64("g")).otherwise(F.xxhash64("g", block(F.col("n"), 7))).alias("unit"), "rep")
-    edges = ws.save(meet(units), f"{name}_blocks")
-    large = members.where(~small)
+    block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
+    units = members.select(F.when(F.col("blocks") == 1, F.xxhash64("g")).otherwise(F.xxhash64("g", block(F.col("blocks"), 7))).alias("unit"), "rep")
+    edges = ws.save(fewer_links(meet(units)), f"{name}_blocks")
+    large = members.where("blocks > 1")
     if large.isEmpty():
         return edges
 
     def labelled(edges: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
-        """Members of large groups with their component c; and, for groups that have several, the largest."""
+        """Members of large groups with their component c; and of groups that have several how many, and the largest."""
         found = components(edges, ws, f"{name}_{step}")
-        rows = ws.save(large.join(found, large.rep == found.node, "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("c")), f"{name}_{step}_rows")
-        parts = rows.groupBy("g", "n", "c").agg(F.count("*").alias("k"), F.min("rep").alias("rep"))
-        return rows, ws.save(parts.withColumn("parts", F.lit(1)).groupBy("g", "n").agg(F.sum("parts").alias("parts"), F.max(F.struct("k", "c"))["c"].alias("major"), F.sum("k").alias("all"), F.max("k").alias("most")).where("parts > 1"), f"{name}_{step}_parts")
+        rows = ws.save(large.join(found, large.rep == found.node, "left").select("g", "blocks", "rep", F.coalesce("component", "rep").alias("c")), f"{name}_{step}_rows")
+        sizes = rows.groupBy("g", "blocks", "c").agg(F.count("*").alias("k")).groupBy("g", "blocks")
+        parts = sizes.agg(F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("n")).where("parts > 1")
+        return rows, ws.save(parts.select("g", "parts", "n", F.col("most.c").alias("major"), (F.col("n") - F.col("most.k")).alias("apart")), f"{name}_{step}_parts")
 
+    share = lambda k: F.ceil(F.col("blocks") * F.col(k) / F.col("n")).cast("long")
     rows, several = labelled(edges, "first")
-    heads = rows.join(several.select("g", "parts"), "g").groupBy("g", "parts", "c").agg(F.min("rep").alias("rep"))
-    edges = edges.union(ws.save(meet(heads.select(F.xxhash64("g", F.lit(1), block(F.col("parts"), 8)).alias("unit"), "rep")), f"{name}_heads"))
+    heads = rows.join(several, "g").groupBy("g", "c", share("parts").alias("of")).agg(F.min("rep").alias("rep"))
+    edges = edges.union(ws.save(fewer_links(meet(heads.select(F.xxhash64("g", F.lit(1), block(F.col("of"), 8)).alias("unit"), "rep"))), f"{name}_heads"))
     rows, several = labelled(edges, "second")
     if several.isEmpty():
         return edges
-    tied = rows.join(several.select("g", "major", (F.col("all") - F.col("most")).alias("apart")), "g").withColumn("n_apart", F.ceil(F.col("apart") / F.lit(BLOCK)).cast("long")).withColumn("n_all", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long"))
+    tied = rows.join(several, "g").withColumn("of", share("apart"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    mine = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n))
-    apart = tied.where("c <> major").select("g", "rep", mine("n_apart", 9).alias("i"), every("n_all").alias("j"))
-    others = tied.select("g", "rep", every("n_apart").alias("i"), mine("n_all", 10).alias("j"))
-    return edges.union(ws.save(meet(apart.union(others).select(F.xxhash64("g", "i", "j").alias("unit"), "rep").distinct()), f"{name}_rest"))
+    apart = tied.where("c <> major").select("g", "rep", block(F.col("of"), 9).alias("i"), every("blocks").alias("j"))
+    others = tied.select("g", "rep", every("of").alias("i"), block(F.col("blocks"), 10).alias("j"))
+    return edges.union(ws.save(fewer_links(meet(apart.union(others).select(F.xxhash64("g", "i", "j").alias("unit"), "rep").distinct())), f"{name}_rest"))
+
+
+def fewer_links(links: DataFrame) -> DataFrame:
+    """Distinct edges with the same components: each node's lowest neighbour is tied to it and to its other ones.
+
+    A node has an edge at most per list that it is in; stars of lists that share members become one.
+    """
+    low = links.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("l"))
+    ends = F.transform("l", lambda x, i: F.when(i == 0, F.col("b")).otherwise(x))
+    return low.select(F.col("l")[0].alias("a"), F.explode(ends).alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ws: Workspace | None = None) -> DataFrame:
@@ -305,20 +316,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ws: Work
     keys = ws.save(_rare_postings(classes, percent), "keys")
     lists = keys.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2")).where("n > 1")
     lists = lists.groupBy("n", "s", "s2").agg(F.min("value").alias("value")).select("value", "n")
-    members = ws.save(keys.join(lists, "value").select(F.col("value").cast("long").alias("g"), "n", "rep"), "members")
+    members = ws.save(keys.join(lists, "value").select(F.col("value").cast("long").alias("g"), "rep", F.ceil(F.col("n") / F.lit(LIST_BLOCK)).cast("long").alias("blocks")), "members")
 
     def look(units: DataFrame) -> DataFrame:
         sketched = units.join(classes.select("rep", "n_shingles", "sketch"), "rep").select("unit", "rep", "n_shingles", "sketch")
-        return sketched.repartition("unit").sortWithinPartitions("unit").mapInArrow(_candidates(percent), "a long, b long").distinct()
+        return sketched.repartition("unit").sortWithinPartitions("unit").mapInArrow(_candidates(percent), "a long, b long")
 
     groups = components(links_within(members, look, ws, "lists"), ws, "groups")
-    sized = ws.save(groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("component").alias("g"), "n", F.col("node").alias("rep")), "sized")
+    sizes = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n"))
+    grouped = ws.save(groups.join(sizes, groups.node == sizes.rep).select(F.col("component").alias("g"), "rep", "n"), "groups")
+    sized = ws.save(grouped.join(grouped.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(TEXT_BLOCK)).cast("long").alias("blocks")), "g").select("g", "rep", "blocks"), "sized")
 
     def verify(units: DataFrame) -> DataFrame:
         # One text for each representative, and that of the class: another text of the same doc_id is looked at as well.
         units = ws.save(units, f"units_{next(step)}")
         wanted = texts.join(maybe_broadcast(units, units.count()), texts.doc_id == units.rep).select("unit", "rep", "text").dropDuplicates(["unit", "rep", "text"])
-        return wanted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verifier(width, percent), "a long, b long").distinct()
+        return wanted.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verifier(width, percent), "a long, b long")
 
     step = count()
     links = links_within(sized, verify, ws, "exact")
