@@ -35,8 +35,8 @@ from relevance_spark.llm.shared import Workspace, maybe_broadcast, text_or_empty
 #: Retained values, and the chance that so few of them are shared that a link is not looked at.
 KEEP, MISS = 64, 1e-7
 #: Members of a list that meet in one place, about, and shingles of candidate texts that do (twice as many where two
-#: blocks meet): some 10 and some 100 MB of a worker's memory.
-LIST_BLOCK, TEXT_BLOCK = 8_192, 2_000_000
+#: blocks meet): some 10 and some 50 MB of a worker's memory.
+LIST_BLOCK, TEXT_BLOCK = 8_192, 1_000_000
 
 
 def estimate_limit(percent: int) -> float:
