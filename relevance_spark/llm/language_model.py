@@ -101,7 +101,7 @@ def merged(parts: list[np.ndarray]) -> np.ndarray:
 
 
 #: Bytes of text that are counted together, and that are scored together; memory is some thirty times that.
-COUNTED, SCORED = 14_000_000, 5_000_000
+COUNTED, SCORED = 12_000_000, 3_500_000
 
 
 def _gathered(batches):
