@@ -71,8 +71,10 @@ def equal_groups(docs: DataFrame, prints: DataFrame, ws: Workspace) -> DataFrame
     heads = heads.groupBy("fingerprint").agg(F.min("bytes").alias("head"), F.min("doc_id").alias("first"))
     heads = heads.join(maybe_broadcast(sizes, few), "fingerprint").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     same = members.join(heads, ["fingerprint", "part"]).select("doc_id", "fingerprint", "first", (F.col("bytes") == F.col("head")).alias("equal"), F.sha2("bytes", 256).alias("sha"))
-    odd = same.where(~F.col("equal")).groupBy("fingerprint", "sha").agg(F.min("doc_id").alias("own"))
-    found = same.join(odd, ["fingerprint", "sha"], "left").select("doc_id", "fingerprint", F.when(F.col("equal"), F.col("first")).otherwise(F.col("own")).alias("group_id"))
+    same = ws.save(same, "compared")
+    odd = same.where(~F.col("equal"))
+    own = odd.groupBy("fingerprint", "sha").agg(F.min("doc_id").alias("group_id"))
+    found = same.where("equal").select("doc_id", "fingerprint", F.col("first").alias("group_id")).union(odd.join(own, ["fingerprint", "sha"]).select("doc_id", "fingerprint", "group_id"))
     return found.groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
 
 

@@ -461,6 +461,16 @@ def test_fingerprints(spark, docs, texts, empty):
     assert fingerprints.compared(empty, Workspace(spark, "w")).count() == 0
 
 
+def test_equal_groups_of_colliding_prints(spark, monkeypatch):
+    """Texts whose fingerprints collide are told apart by their bytes, in a bucket of several parts as well; null ids and repeated rows."""
+    monkeypatch.setattr(fingerprints, "PART", 3)
+    rows = [(i, ["same text", "Same  TEXT", "other", "third"][i % 4]) for i in range(20)] + [(3, "third"), (None, "same text"), (30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = df.select("doc_id", F.when(F.col("text").isNull(), "0").otherwise("1").alias("fingerprint"))
+    got = {r.doc_id: r.group_id for r in fingerprints.equal_groups(df, prints, Workspace(spark, "x")).collect()}
+    assert got == {i: (0, 0, 2, 3)[i % 4] for i in range(20)}
+
+
 @pytest.mark.parametrize("hot", [0.5, 0.001])
 def test_language_model(spark, docs, texts, empty, monkeypatch, hot):
     """With hardly any first word dealt over several buckets, and with most."""
