@@ -6,7 +6,7 @@ import hashlib
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,21 +31,43 @@ def read_documents(spark: SparkSession, path: str, text_field: str = "text", id_
     return raw.select(F.col(id_field).cast("string").alias("id"), F.col(text_field).alias("text"), *[c for c in raw.columns if c not in (id_field, text_field)])
 
 
+def _example_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, at, place) of JSON lines, or of the objects of a file that is one JSON list; at and place order a file's rows."""
+    columns = ["value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place")]
+    lines = spark.read.text(path).select(*columns)
+    first = lines.where(F.trim("value") != "").select(F.ltrim("value").alias("v")).first()
+    if first is None or not first.v.startswith("["):
+        return lines
+    whole = spark.read.text(path, wholetext=True).select(*columns[:3], F.posexplode_outer(F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')")).alias("place", "object"))
+    if bad := whole.where("place IS NULL AND trim(value) NOT RLIKE '^\\\\[\\\\s*\\\\]$'").select("file").first():
+        raise ValueError(f"{bad.file}: not a JSON list")
+    return whole.where("place IS NOT NULL").select(F.coalesce(F.to_json("object"), F.lit("null")).alias("value"), "file", "at", "place")
+
+
+def _refuse(rows: DataFrame, bad: DataFrame, message: str) -> None:
+    """Raise with the file and the line of the first bad row, if any; lines are counted only then, in that file."""
+    found = bad.select("file").agg(F.min("file").alias("file")).first().file
+    if found is None:
+        return
+    order = Window.partitionBy("file").orderBy("at", "place")
+    numbered = rows.where(F.col("file") == found).select("file", "at", "place", F.row_number().over(order).alias("line"))
+    one = numbered.join(bad.where(F.col("file") == found).select("at", "place"), ["at", "place"]).agg(F.min("line").alias("line")).first()
+    raise ValueError(f"{found}:{one.line}: {message}")
+
+
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines to query, positive, negatives, instruction, score, label; of several aliases the first present counts."""
+    """JSON lines, or a JSON list, to query, positive, negatives, instruction, score, label; of several aliases the first present counts."""
     fields = {name: T.StringType() for names in ALIASES.values() for name in names} | {"instruction": T.StringType(), "score": T.DoubleType(), "label": T.StringType()}
-    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("j", F.expr("try_parse_json(value)"))
-    bad = raw.where("j IS NULL").limit(1).collect()
-    if bad:
-        raise ValueError(f"{path}: not JSON: {bad[0].value[:80]}")
+    lines = _example_lines(spark, path)
+    raw = lines.where(F.trim("value") != "").withColumn("j", F.expr("try_parse_json(value)"))
+    _refuse(lines, raw.where("j IS NULL OR schema_of_variant(j) NOT LIKE 'OBJECT%'"), "not a JSON object")
     text = lambda n: F.get_json_object("value", f"$.{n}")
     pick = lambda key: reduce(lambda rest, n: F.when(F.expr(f"variant_get(j, '$.{n}') IS NOT NULL"), text(n)).otherwise(rest), reversed(ALIASES[key]), F.lit(None).cast("string"))
     neg = pick("negatives")
     listed = F.when(neg.isNull(), F.array().cast("array<string>")).when(neg.startswith("["), F.from_json(neg, "array<string>")).otherwise(F.array(neg))
-    out = raw.select(pick("query").alias("query"), pick("positive").alias("positive"), listed.alias("negatives"), *[text(c).cast(fields[c]).alias(c) for c in ("instruction", "score", "label")])
-    if not out.where("query IS NULL OR positive IS NULL").isEmpty():
-        raise ValueError(f"{path}: an example needs a query and a positive")
-    return out
+    named = raw.withColumns({"query": pick("query"), "positive": pick("positive")})
+    _refuse(lines, named.where("query IS NULL OR positive IS NULL"), "an example needs a query and a positive")
+    return named.select("query", "positive", listed.alias("negatives"), *[text(c).cast(fields[c]).alias(c) for c in ("instruction", "score", "label")])
 
 
 def write_examples(examples: DataFrame, path: str) -> None:

@@ -376,3 +376,33 @@ def test_readers_round_trip(spark, tmp_path):
     (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\nq\ta\t1\nq\ta\t2\n")
     with pytest.raises(ValueError):
         readers.read_qrels(spark, str(tmp_path / "q.tsv"))
+
+
+def test_examples_as_a_list_and_bad_lines(spark, tmp_path):
+    (tmp_path / "l.json").write_text('[{"query": "a", "pos": "b", "neg": ["c", "d"]},\n {"anchor": "e", "document": "f", "score": 0.5}]')
+    rows = sorted(readers.read_examples(spark, str(tmp_path / "l.json")).collect(), key=lambda r: r.query)
+    assert [(r.query, r.positive, r.negatives, r.score) for r in rows] == [("a", "b", ["c", "d"], None), ("e", "f", [], 0.5)]
+    good = '{"query": "a", "positive": "b"}\n'
+    for k, (text, line) in enumerate([(good + "\n" + good + "{oops\n", 4), (good + '{"query": "a"}\n' + "", 2), (good + '["a", "b"]\n', 2), (good * 2 + "3\n", 3)]):
+        (tmp_path / f"bad{k}.jsonl").write_text(text)
+        with pytest.raises(ValueError, match=f"bad{k}.jsonl:{line}: "):
+            readers.read_examples(spark, str(tmp_path / f"bad{k}.jsonl"))
+    (tmp_path / "empty.json").write_text("[ ]")
+    assert readers.read_examples(spark, str(tmp_path / "empty.json")).count() == 0
+    (tmp_path / "cut.json").write_text('[{"query": "a"')
+    with pytest.raises(ValueError, match="not a JSON list"):
+        readers.read_examples(spark, str(tmp_path / "cut.json"))
+
+
+def test_ingest_stream_appends_new_rows_once(spark, tmp_path):
+    from relevance_spark.streaming.ingest import ingest, read_stream
+
+    source, target, notes = (f"{tmp_path}/{n}" for n in ("in", "out", "notes"))
+    put = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "cast(id AS string) AS text").write.mode("append").parquet(source)
+    take = lambda: ingest(read_stream(spark, source, "id long, text string"), lambda d: d.withColumn("n", F.length("text")), target, notes).awaitTermination(60)
+    put(0, 5)
+    assert take()
+    put(5, 12)
+    assert take() and take()
+    rows = spark.read.parquet(target)
+    assert rows.count() == 12 and rows.select("id").distinct().count() == 12 and rows.where("n = 2").count() == 2
