@@ -24,8 +24,8 @@ def n_blocks(docs: DataFrame, chars: int = BLOCK_CHARS) -> int:
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """docs with ``block``, dealt out by it; rows that repeat a doc_id with other texts need not meet."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))).repartition(n, "block")
+    """docs with ``block``, dealt out by it; only rows that are equal in doc_id and text surely meet."""
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "block")
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
