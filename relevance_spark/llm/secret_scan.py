@@ -161,8 +161,39 @@ def battery(token: Column) -> Column:
     return let(bare, of_token)
 
 
-def _inside(x: Column, y: Column) -> Column:
-    return (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x != y)
+def _apart(candidates: Column, known: Column) -> Column:
+    """The candidates that overlap no known span: a pass from either side over both in order, not each against all."""
+    kinds = "array<struct<start:int,known:int,span:struct<start:int,rank:int,kind:string,end:int,match:string>>>"
+    tagged = lambda spans, order: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("known"), s.alias("span")))
+    # At one start, known spans (0) come before candidates (1).
+    both = F.sort_array(F.concat(tagged(known, 0), tagged(candidates, 1)))
+
+    def onward(acc: Column, x: Column) -> Column:
+        own = x["known"] == 0
+        kept = F.when(own | (acc["reach"] <= x["start"]), F.array_append(acc["kept"], x)).otherwise(acc["kept"])
+        return F.struct(F.when(own, F.greatest(acc["reach"], x["span"]["end"])).otherwise(acc["reach"]).alias("reach"), kept.alias("kept"))
+
+    def back(acc: Column, x: Column) -> Column:
+        own = x["known"] == 0
+        kept = F.when(~own & (x["span"]["end"] <= acc["reach"]), F.array_append(acc["kept"], x["span"])).otherwise(acc["kept"])
+        return F.struct(F.when(own, x["start"]).otherwise(acc["reach"]).alias("reach"), kept.alias("kept"))
+
+    first = F.aggregate(both, F.struct(F.lit(0).alias("reach"), F.array().cast(kinds).alias("kept")), onward)["kept"]
+    second = F.aggregate(F.reverse(first), F.struct(F.lit(2**31 - 1).alias("reach"), F.array().cast(_SPANS).alias("kept")), back)["kept"]
+    return F.when((F.size(known) == 0) | (F.size(candidates) == 0), candidates).otherwise(second)
+
+
+def _outermost(spans: Column) -> Column:
+    """The distinct spans that lie in no other one: those that end beyond all that start no later, longer ones first."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s.alias("span"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        beyond = x["span"]["end"] > acc["reach"]
+        kept = F.when(beyond, F.array_append(acc["kept"], x["span"])).otherwise(acc["kept"])
+        return F.struct(F.greatest(acc["reach"], x["span"]["end"]).alias("reach"), kept.alias("kept"))
+
+    folded = F.aggregate(ordered, F.struct(F.lit(-1).alias("reach"), F.array().cast(_SPANS).alias("kept")), step)["kept"]
+    return F.when(F.size(spans) <= 1, spans).otherwise(folded)
 
 
 def _parts(run: Column) -> Column:
@@ -177,8 +208,8 @@ def _parts(run: Column) -> Column:
 def _random_spans(text: Column, words: Column, known: Column) -> Column:
     """Spans of tokens that are random and not prose, beside the known ones."""
     parts = F.flatten(F.transform(_spans(text, "random", RUN, 0, LEAST), _parts))
-    candidates = F.filter(parts, lambda s: s["match"].rlike("[0-9]|[a-z].*[A-Z]") & ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
-    return let(candidates, lambda c: _discoveries(c, words + F.size(F.filter(c, lambda x: F.exists(c, lambda y: _inside(x, y))))))
+    candidates = let(F.filter(parts, lambda s: s["match"].rlike("[0-9]|[a-z].*[A-Z]")), lambda c: _apart(c, known))
+    return let(candidates, lambda c: _discoveries(c, words + F.size(c) - F.size(_outermost(c))))
 
 
 def _discoveries(candidates: Column, hypotheses: Column) -> Column:
@@ -197,7 +228,7 @@ def _discoveries(candidates: Column, hypotheses: Column) -> Column:
 
         return F.when(F.size(x) == 0, F.array().cast(_SPANS)).otherwise(let(bits, kept))
 
-    return let(let(likely, controlled), lambda d: F.filter(d, lambda x: ~F.exists(d, lambda y: _inside(x, y))))
+    return let(let(likely, controlled), _outermost)
 
 
 def found_secrets(docs: DataFrame) -> DataFrame:
