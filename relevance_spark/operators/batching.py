@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges in which rows are put in order, and the rows drawn to bound them.
+RANGES, DRAWN = 256, 16_384
+
+
+def range_of(value: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted bounds are not above the value, by halving; 0 for null."""
+    known = F.array(*map(F.lit, bounds)).cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, x: F.when(F.get(known, at + x - 1) <= value, at + x).otherwise(at)) if bounds else F.lit(0)
+
+
 def plain_batches(examples: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
-    """Consecutive batches in order of ``ord``: partition offsets by one count per range, no single ordered task."""
-    ranged = examples.repartitionByRange("ord").sortWithinPartitions("ord")
-    parts = ranged.withColumn("part", F.spark_partition_id()).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("ord")) - 1)
-    sizes = parts.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    out = parts.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.col("i"))
-    out = out.withColumn("batch", F.floor(F.col("n") / size).cast("long")).withColumn("position", (F.col("n") % size).cast("int")).drop("part", "i", "start", "n")
+    """Consecutive batches in order of ``ord``: a row's place is its range's offset and its place in the range.
+
+    Bounds and counts are found once and become constants, so no later plan can deal the rows out in another way.
+    """
+    kind = dict(examples.dtypes)["ord"]
+    drawn = [r.ord for r in examples.select("ord").where("ord IS NOT NULL").orderBy(F.rand(0)).limit(DRAWN).orderBy("ord").collect()]
+    bounds = sorted({len(drawn) * k // RANGES for k in range(1, RANGES)}) if drawn else []
+    parts = examples.withColumn("part", range_of(F.col("ord"), [drawn[k] for k in bounds], kind))
+    sizes = {r.part: r.n for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per range
+    starts = F.array(*[F.lit(n).cast("long") for n in accumulate((sizes.get(k, 0) for k in range(len(bounds))), initial=0)])
+    i = F.row_number().over(Window.partitionBy("part").orderBy("ord")) - 1
+    out = parts.withColumn("n", F.get(starts, F.col("part")) + i)
+    out = out.withColumn("batch", F.floor(F.col("n") / size).cast("long")).withColumn("position", (F.col("n") % size).cast("int")).drop("part", "n")
     if drop_last:
         full = out.groupBy("batch").count().where(F.col("count") == size).select("batch")
         out = out.join(full, "batch", "left_semi")
