@@ -1,9 +1,11 @@
 """Places in a global order, where Spark deals rows out in other ways from one plan to the next."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from relevance_spark.operators import batching
+from relevance_spark.operators import batching, splitting
 from relevance_spark.plans import catalog
 
 
@@ -59,3 +61,11 @@ def test_evaluator_of_many_texts_and_null_ones(spark, small_partitions, tmp_path
     texts.write.parquet(f"{tmp_path}/documents.parquet")
     got, want = against_sql(spark, "evaluator_from_examples", tmp_path)
     assert got == want and len(want) > 24_000
+
+
+def test_shuffled_split_of_many_examples(spark, small_partitions):
+    n = 400_000
+    order = sorted(range(n), key=lambda i: hashlib.sha256(f"42:{i}".encode()).hexdigest())
+    rows = splitting.shuffled_split(spark.range(n).withColumnRenamed("id", "ord"), 0.1).collect()
+    assert len(rows) == n and {r.ord for r in rows} == set(range(n))
+    assert {r.ord for r in rows if r.in_dev} == set(order[: n // 10])
