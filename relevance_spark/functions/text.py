@@ -70,4 +70,4 @@ def folded(text: Column) -> Column:
 def token_digest(text: Column) -> Column:
     """Digest of the sorted multiset of folded tokens: texts that differ in order, case, width or punctuation agree."""
     words = F.regexp_extract_all(F.coalesce(folded(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.sha2(F.array_join(F.array_sort(words), " "), 256)
+    return F.sha2(F.array_join(F.sort_array(words), " "), 256)

@@ -2,32 +2,80 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevance_spark.operators.batching import plain_batches
-from relevance_spark.operators.graph import connected
+from relevance_spark.operators.graph import connected, shared_folder
+
+
+#: Ranges of the hash that a label's groups are counted by: three hexadecimal digits.
+PARTS = 16**3
+
+
+def _brings_nearer(chosen, n, total, fraction: float, distance=abs):
+    """Whether n more rows bring the chosen ones nearer to the share and leave something over; of columns or numbers."""
+    return (distance(chosen + n - total * fraction) < distance(chosen - total * fraction)) & (chosen + n < total)
 
 
 def grouped_split(rows: DataFrame, fraction: float, seed: str = "split") -> DataFrame:
     """(id, label, group) to (group, in_dev): whole groups, near the fraction of each label's rows.
 
     Groups with more than one label stay in train. Groups of a label are taken in order of a hash, each only if it
-    brings the count nearer to its target and leaves something over; the order needs one fold per label, over groups.
+    brings the count nearer to its target and leaves something over. What is too large once is so for good, so in each
+    round a label takes all that may still come up to the first range of the hash that passes the target, and goes
+    through that range group by group. A round that does not end takes a group and leaves a label nearer.
     """
-    groups = rows.groupBy("group").agg(F.count_distinct("label").alias("labels"), F.min("label").alias("label"), F.count("*").alias("n"))
-    usable = groups.where("labels = 1").withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), "label", "group"), 256))
-    listed = usable.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("h", "n", "group"))).alias("g"), F.sum("n").alias("total"))
-    target = F.col("total") * F.lit(float(fraction))
-
-    def step(acc, x):
-        after = acc["chosen"] + x["n"]
-        better = (after < F.col("total")) & (F.abs(after - target) < F.abs(acc["chosen"] - target))
-        return F.struct(F.when(better, after).otherwise(acc["chosen"]).alias("chosen"), F.when(better, F.concat(acc["taken"], F.array(x["group"]))).otherwise(acc["taken"]).alias("taken"))
-
-    kind = dict(rows.dtypes)["group"]
-    chosen = listed.select(F.explode(F.aggregate("g", F.struct(F.lit(0).cast("long").alias("chosen"), F.array().cast(f"array<{kind}>").alias("taken")), step)["taken"]).alias("group")).withColumn("in_dev", F.lit(True))
-    return groups.select("group").join(chosen, "group", "left").select("group", F.coalesce("in_dev", F.lit(False)).alias("in_dev"))
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "split")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    fraction = float(fraction)
+    label, group = dict(rows.dtypes)["label"], dict(rows.dtypes)["group"]
+    found = rows.groupBy("group").agg(F.count_distinct("label").alias("labels"), F.min("label").alias("label"), F.count("*").alias("n"))
+    found = found.withColumn("h", F.when(F.col("labels") == 1, F.sha2(F.concat_ws(":", F.lit(seed), "label", "group"), 256)))
+    groups = kept(found.withColumn("part", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).drop("labels"), "groups")
+    usable = groups.where("h IS NOT NULL")
+    nearer = _brings_nearer(F.col("chosen"), F.col("n"), F.col("total"), fraction, F.abs)
+
+    def through(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h")
+        chosen, total, taken = int(pdf["chosen"].iloc[0]), int(pdf["total"].iloc[0]), []
+        for n in pdf["n"].tolist():
+            taken.append(_brings_nearer(chosen, n, total, fraction))
+            chosen += n if taken[-1] else 0
+        return pdf.loc[taken, ["label", "n", "group"]]
+
+    state = [(r.label, r.total, 0, 0) for r in usable.groupBy("label").agg(F.sum("n").alias("total")).collect()]  # a row per label
+    whole, single = [], None  # ranges of a label that are taken up to a size, and groups that are taken by themselves
+    while state:
+        at = F.broadcast(spark.createDataFrame(state, f"label {label}, total long, chosen long, start int"))
+        near = usable.join(at, "label").where(F.col("part") >= F.col("start")).where(nearer)
+        sums = near.groupBy("label", "total", "chosen", "part").agg(F.sum("n").alias("n"))
+        after = F.col("chosen") + F.sum("n").over(Window.partitionBy("label").orderBy("part"))
+        fits = (F.col("after") <= F.col("total") * fraction) & (F.col("after") < F.col("total"))
+        ends = sums.withColumn("after", after).groupBy("label").agg(F.max(F.when(fits, F.col("after"))).alias("after"), F.min(F.when(~fits, F.col("part"))).alias("stop"))
+        ends = {r.label: r for r in ends.collect()}
+        whole += [(*s, PARTS if ends[s[0]].stop is None else ends[s[0]].stop) for s in state if s[0] in ends]
+        state = [(s[0], s[1], ends[s[0]].after or s[2], ends[s[0]].stop) for s in state if s[0] in ends and ends[s[0]].stop is not None]
+        if not state:
+            break
+        at = F.broadcast(spark.createDataFrame(state, f"label {label}, total long, chosen long, start int"))
+        crossed = usable.join(at, "label").where(F.col("part") == F.col("start")).where(nearer).select("label", "total", "chosen", "n", "h", "group")
+        taken = kept(crossed.groupBy("label").applyInPandas(through, f"label {label}, n long, group {group}"), f"taken{len(whole)}")
+        single = taken if single is None else single.unionByName(taken)
+        more = {r.label: r.n for r in taken.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        state = [(x, total, chosen + more.get(x, 0), stop + 1) for x, total, chosen, stop in state]
+    marked = groups.withColumn("in_dev", F.lit(False))
+    if whole:
+        spans = F.broadcast(spark.createDataFrame(whole, f"label {label}, total long, chosen long, start int, stop int"))
+        inside = usable.join(spans, "label").where(F.col("part").between(F.col("start"), F.col("stop") - 1)).where(nearer).select("group")
+        chosen = (inside if single is None else inside.unionByName(single.select("group"))).withColumn("hit", F.lit(True))
+        marked = groups.join(chosen, "group", "left").withColumn("in_dev", F.coalesce("hit", F.lit(False)))
+    return marked.select("group", "in_dev")
 
 
 def shuffled_split(examples: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

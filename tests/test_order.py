@@ -1,6 +1,8 @@
 """Places in a global order, where Spark deals rows out in other ways from one plan to the next."""
 
 import hashlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,36 @@ def test_shuffled_split_of_many_examples(spark, small_partitions):
     rows = splitting.shuffled_split(spark.range(n).withColumnRenamed("id", "ord"), 0.1).collect()
     assert len(rows) == n and {r.ord for r in rows} == set(range(n))
     assert {r.ord for r in rows if r.in_dev} == set(order[: n // 10])
+
+
+def split_by_hand(groups, fraction):
+    """groups: {(label, group): rows}; the groups that are taken, one after the other."""
+    taken = set()
+    for label in {x for x, _ in groups}:
+        own = sorted((hashlib.sha256(f"split:{label}:{g}".encode()).hexdigest(), g, n) for (x, g), n in groups.items() if x == label)
+        total, chosen = sum(n for *_, n in own), 0
+        for _, g, n in own:
+            if chosen + n < total and abs(chosen + n - total * fraction) < abs(chosen - total * fraction):
+                taken.add(g)
+                chosen += n
+    return taken
+
+
+def test_grouped_split_of_groups_of_all_sizes(spark):
+    draw = random.Random(5)
+    groups = {(f"l{k}", f"g{k}-{i}"): draw.choice([1, 1, 2, 3, 5, 40, 200]) for k in range(30) for i in range(draw.choice([1, 2, 9, 60]))}
+    groups |= {("big", f"b{i}"): 1 + 400 * (i == 7) for i in range(300)}
+    rows = spark.createDataFrame([(x, g, n) for (x, g), n in groups.items()], "label string, group string, n int")
+    each = rows.selectExpr("label", "group", "explode(sequence(1, n)) AS id").unionByName(spark.createDataFrame([("l0", "both", 1), ("l1", "both", 2), (None, "none", 3)], "label string, group string, id int"))
+    for fraction in (0.2, 0.5, 1.0):
+        got = splitting.grouped_split(each, fraction).collect()
+        assert sorted(r.group for r in got) == sorted([g for _, g in groups] + ["both", "none"])
+        assert {r.group for r in got if r.in_dev} == split_by_hand(groups, fraction)
+
+
+def test_grouped_split_of_many_groups_is_fast(spark):
+    began = time.time()
+    rows = spark.range(130_000).select("id", F.lit("x").alias("label"), F.concat(F.lit("g"), F.col("id") % 120_000).alias("group"))
+    got = {r.group for r in splitting.grouped_split(rows, 0.2).collect() if r.in_dev}
+    assert time.time() - began < 60
+    assert got == split_by_hand({("x", f"g{i}"): 1 + (i < 10_000) for i in range(120_000)}, 0.2)
