@@ -9,7 +9,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -64,7 +64,7 @@ class Encoder:
 def hashed_places(features: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and sign of each feature: of its eight-byte BLAKE2b digest, read as little-endian, the low half modulo dim
     is the bucket, and the next bit tells the sign."""
-    digests = np.frombuffer(b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features), "<u8")
+    digests = np.frombuffer(b"".join([hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features]), "<u8")
     return (digests & 0xFFFFFFFF).astype(np.int64) % dim, np.where(digests >> np.uint64(32) & np.uint64(1), 1.0, -1.0)
 
 
@@ -73,12 +73,16 @@ def windows(items, n: int):
     return zip(*(items[i:] for i in range(n)), strict=False)
 
 
+#: Words that are hashed at once, and distinct words whose features are kept from one batch to the next.
+AT_ONCE, KEPT_WORDS = 50_000, 60_000
+
+
 @dataclass
 class HashingEncoder(Encoder):
     """Signed feature hashing of word n-grams (weight 1) and n-grams of characters of words in angle brackets (weight 0.5).
 
-    Per batch: each distinct word is cut into its character n-grams once, each distinct feature is hashed once, and all
-    occurrences are added up at once.
+    Words go through in pieces of a fixed number, whatever the texts' sizes: a long text is in several, each with the
+    words before it that its n-grams begin with. All weights are halves, so the order of the sums does not matter.
     """
 
     native_dim: int = 256
@@ -87,19 +91,58 @@ class HashingEncoder(Encoder):
 
     def _word_parts(self, word: str) -> list[str]:
         sizes = range(self.characters[0], self.characters[1] + 1) if self.characters else ()
-        return ["c:" + "".join(g) for n in sizes for g in windows(f"<{word}>", n)]
+        whole = f"<{word}>"
+        return ["c:" + whole[i : i + n] for n in sizes for i in range(len(whole) - n + 1)]
+
+    def _pieces(self, texts: list[str]) -> Iterator[list[tuple[int, list[str], list[str]]]]:
+        """Lists of (row, words before, words) with AT_ONCE words at most."""
+        piece, left, back = [], AT_ONCE, self.words[1] - 1
+        for row, text in enumerate(texts):
+            found, before = (m.group() for m in WORDS.finditer((text or "").lower())), []
+            while words := list(islice(found, left)):
+                piece.append((row, before, words))
+                left -= len(words)
+                before = (before + words)[-back:] if back > 0 else []
+                if not left:
+                    yield piece
+                    piece, left = [], AT_ONCE
+        if piece:
+            yield piece
 
     def _encode(self, texts: list[str]) -> np.ndarray:
-        split = [WORDS.findall((t or "").lower()) for t in texts]
-        parts = {w: self._word_parts(w) for w in set(chain.from_iterable(split))}
+        out, parts = np.zeros((len(texts), self.native_dim)), {}
+        flat = out.reshape(-1)
         sizes = range(self.words[0], self.words[1] + 1)
-        features = [["w:" + " ".join(g) for n in sizes for g in windows(words, n)] + list(chain.from_iterable(map(parts.get, words))) for words in split]
-        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(features)), dtype=object))
-        out = np.zeros((len(texts), self.native_dim))
-        if len(distinct):
-            bucket, sign = hashed_places(distinct, self.native_dim)
-            weight = sign * np.where([f[0] == "w" for f in distinct], 1.0, 0.5)
-            np.add.at(out, (np.repeat(np.arange(len(texts)), list(map(len, features))), bucket[codes]), weight[codes])
+        for piece in self._pieces(texts):
+            grams = [[" ".join(g) for n in sizes for g in windows([*before[len(before) - n + 1 :], *words] if n > 1 else words, n)] for _, before, words in piece]
+            rows = np.array([row for row, *_ in piece])
+            codes, distinct = pd.factorize(np.array(list(chain.from_iterable(grams)), dtype=object))
+            if len(distinct):
+                bucket, weight = hashed_places(["w:" + g for g in distinct], self.native_dim)
+                at = np.repeat(rows, list(map(len, grams))) * self.native_dim + bucket[codes]
+                np.add.at(flat, at, weight[codes])
+            if self.characters:
+                if len(parts) > KEPT_WORDS:
+                    parts.clear()
+                codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words for *_, words in piece)), dtype=object))
+                new = {w: self._word_parts(w) for w in distinct if w not in parts}
+                if new:
+                    known, features = pd.factorize(np.array(list(chain.from_iterable(new.values())), dtype=object))
+                    bucket, sign = hashed_places(features, self.native_dim)
+                    at = 0
+                    for w, p in new.items():
+                        own = known[at : (at := at + len(p))]
+                        parts[w] = bucket[own], sign[own] * 0.5
+                # Each word of a row once, with the number of its occurrences.
+                pairs, times = np.unique(np.repeat(rows, [len(words) for *_, words in piece]) * len(distinct) + codes, return_counts=True)
+                row, code = np.divmod(pairs, len(distinct))
+                own = [parts[w] for w in distinct]
+                long = np.array([len(b) for b, _ in own])
+                ends = np.cumsum(long)
+                each = long[code]
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat((ends - long)[code], each)
+                bucket, weight = (np.concatenate(x) for x in zip(*own, strict=True))
+                np.add.at(flat, np.repeat(row * self.native_dim, each) + bucket[place], weight[place] * np.repeat(times, each))
         return np.sign(out) * np.log1p(np.abs(out))
 
 
