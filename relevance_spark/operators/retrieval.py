@@ -52,7 +52,7 @@ class HybridRetriever:
 
     def search(self, queries: DataFrame, k: int = 5, where: dict | Column | None = None) -> DataFrame:
         eligible, depth = where_metadata(self.corpus, where), max(k, self.depth)
-        lexical = bm25.search(bm25.build(self.corpus), queries, depth, k1=self.k1, b=self.b, allowed=eligible if where is not None else None)
+        lexical = bm25.search_many(bm25.build(self.corpus), queries, depth, k1=self.k1, b=self.b, allowed=eligible if where is not None else None)
         near = dense.search(queries.select("query_id", "vec"), eligible, depth)
         return with_documents(reciprocal_rank_fusion([lexical, near], k, self.constant), eligible)
 
