@@ -81,12 +81,13 @@ def grouped_split(rows: DataFrame, fraction: float, seed: str = "split") -> Data
 def shuffled_split(examples: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """The first max(1, round(n * fraction)) examples (halves to even) in the order of a seeded hash of ``ord`` are dev.
 
-    Places in that order come from counts per range, so no task and no driver holds all examples.
+    Nulls have no hash and come last. Places in that order come from counts per range, so no task and no driver holds
+    all examples.
     """
     n = examples.count()
     cut = max(1, round(n * fraction)) if n else 0
-    drawn = examples.withColumn("_ord", F.col("ord")).withColumn("ord", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("ord").cast("string")), 256))
-    placed = plain_batches(drawn, 1)
+    drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("ord").cast("string")), 256)
+    placed = plain_batches(examples.withColumn("_ord", F.col("ord")).withColumn("ord", F.coalesce(drawn, F.lit("~"))), 1)  # after all digits
     return placed.withColumn("in_dev", F.col("batch") < cut).withColumn("ord", F.col("_ord")).drop("_ord", "batch", "position")
 
 

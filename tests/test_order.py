@@ -73,6 +73,13 @@ def test_shuffled_split_of_many_examples(spark, small_partitions):
     assert {r.ord for r in rows if r.in_dev} == set(order[: n // 10])
 
 
+@pytest.mark.parametrize("ids", [[None] * 300 + [1, 2, 3], [None] * 30, [5, 5, 5, None, *range(31)]])
+def test_split_examples_of_null_and_repeated_ids(spark, tmp_path, ids):
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = against_sql(spark, "split_examples", tmp_path)
+    assert got == want and len(want) == len(ids)
+
+
 def split_by_hand(groups, fraction):
     """groups: {(label, group): rows}; the groups that are taken, one after the other."""
     taken = set()
